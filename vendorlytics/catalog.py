@@ -3,7 +3,9 @@
 
 ``for_check`` brings results to the types the DuckDB oracle produces: exact
 decimals -> DOUBLE (the conversion is deterministic in both engines), dates
--> ISO text, small integers -> BIGINT, doubles rounded to 6 places.
+-> ISO text, small integers -> BIGINT.  Doubles are compared as they are:
+every double is computed by the same IEEE operations in both engines (exact
+decimal sums cast to double, then one division).
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorlytics.catalog_params import TEST_SCORECARD
-from vendorlytics.plans import scorecard
-from vendorlytics.sources.proxies import scorecard_tables
+from vendorlytics.catalog_params import TEST_PNL, TEST_ROS, TEST_SCORECARD, TEST_SOURCING
+from vendorlytics.plans import scorecard, shipping
+from vendorlytics.plans.marketplace import build_marketplace
+from vendorlytics.plans.sales import lifecycle_status
+from vendorlytics.sources.proxies import sales_tables, scorecard_tables
 from vendorlytics.sources.testdata import TestTables
 
 
@@ -28,8 +32,8 @@ def for_check(df: DataFrame) -> DataFrame:
         t = f.dataType
         if isinstance(t, T.DecimalType):
             c = c.cast("double")
-        elif isinstance(t, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+        elif isinstance(t, T.FloatType):
+            c = c.cast("double")
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(t, T.DateType):
@@ -49,6 +53,34 @@ def _pick(builder: Callable[[SparkSession, str], dict[str, DataFrame]], name: st
     return run
 
 
+def _marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    t = sales_tables(TestTables(spark, sf_dir))
+    d = build_marketplace(t, TEST_ROS, TEST_PNL, TEST_SOURCING)
+    projected = ("SaleOrderItemCode", "DisplayOrderCode", "SellerSKU", "UnitsSold", "ListingPrice")
+    d.define("return_allocation", lambda: d["allocated"].select(
+        *projected, "OrderStatusMod", "OrderStatusModdd", "ReturnReasonnn"))
+    d.define("lifecycle_status", lambda: d["allocated"].select(*projected, lifecycle_status().alias("OrderStatus")))
+    d.define("sales_ingest", lambda: d["sales"].select(
+        "SaleOrderItemCode", "OrderDate", "DispatchDate", "DeliveryTime", "DaysToDispatch", "DaysToDeliver",
+        "BillingAddressPhone", "OrderMonth", "UnitsSold", "ListingPrice"))
+    d.define("locf_fill", lambda: d["catalogue"].select("pos", "Handle", "Variant SKU", "Type", "Vendor"))
+
+    def normalised() -> DataFrame:
+        parts = [shipping.normalise_charges(t[f"carrier_{c.lower()}"], cols).withColumn("Carrier", F.lit(c))
+                 for c, cols in (("A", shipping.CARRIER_A), ("B", shipping.CARRIER_B), ("C", shipping.CARRIER_C))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    d.define("carrier_normalise", normalised)
+    return d
+
+
+MARKETPLACE_KEYS = ("sales_ingest", "locf_fill", "sku_catalogue", "return_claims", "return_allocation",
+                    "lifecycle_status", "first_order_month", "order_totals", "sales_mart", "rate_of_sale",
+                    "category_revenue", "active_listing", "launch_month_revenue", "carrier_normalise",
+                    "carrier_union", "shipment_facts", "shipping_ledger", "facility_dim", "pnl_lines",
+                    "pnl_cost_lines", "pnl_month_facility", "material_clean", "product_header",
+                    "catalogue_segments", "catalogue_union", "monthly_sku_sales", "sourcing_report")
+
 SCORECARD_KEYS = ("order_extract", "working_days", "vendor_dispatch", "vendor_quality", "vendor_ratings",
                   "vendor_assortment", "vendor_spine", "vendor_scorecard")
 
@@ -58,4 +90,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for k in SCORECARD_KEYS:
         q[k] = _pick(_scorecard, k)
+    for k in MARKETPLACE_KEYS:
+        q[k] = _pick(_marketplace, k)
     return q

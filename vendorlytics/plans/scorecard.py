@@ -21,6 +21,7 @@ from vendorlytics.functions.expr import band, date_text, first_match, month_text
 from vendorlytics.operators.conditional_distinct import conditional_distinct_counts
 from vendorlytics.operators.union import union_distinct
 from vendorlytics.operators.working_days import working_days
+from vendorlytics.plans.lazy import Datasets
 
 MONTH_KEYS = ["order_mnt", "display_name"]
 
@@ -232,18 +233,22 @@ def vendor_scorecard(spine: DataFrame, quality: DataFrame, assortment: DataFrame
     )
 
 
-def build_scorecard(t: dict[str, DataFrame], p: P.ScorecardParams = P.ScorecardParams()) -> dict[str, DataFrame]:
-    """The whole database pipeline from the eleven operational tables."""
-    extract = order_extract(t["orders"], t["order_items"], t["product_variants"], t["products"],
-                            t["suppliers"], t["return_items"], t["returns"], t["shipping_order_items"],
-                            t["shipping_packages"], p)
-    days = dispatch_working_days(extract, t["calendar_h"], p)
-    dispatch = vendor_dispatch(extract, days)
-    quality = vendor_quality(extract)
-    ratings = vendor_ratings(t["product_variants"], t["products"], t["suppliers"], t["product_reviews"])
-    assortment = vendor_assortment(t["product_variants"], t["products"], t["suppliers"])
-    spine = vendor_spine(dispatch, assortment, ratings, quality)
-    card = vendor_scorecard(spine, quality, assortment, dispatch, ratings, p)
-    return {"order_extract": extract, "working_days": days, "vendor_dispatch": dispatch,
-            "vendor_quality": quality, "vendor_ratings": ratings, "vendor_assortment": assortment,
-            "vendor_spine": spine, "vendor_scorecard": card}
+def build_scorecard(t: dict[str, DataFrame], p: P.ScorecardParams = P.ScorecardParams()) -> Datasets:
+    """The whole database pipeline from the eleven operational tables, each
+    dataset built on first access."""
+    d = Datasets()
+    d.define("order_extract", lambda: order_extract(
+        t["orders"], t["order_items"], t["product_variants"], t["products"], t["suppliers"], t["return_items"],
+        t["returns"], t["shipping_order_items"], t["shipping_packages"], p))
+    d.define("working_days", lambda: dispatch_working_days(d["order_extract"], t["calendar_h"], p))
+    d.define("vendor_dispatch", lambda: vendor_dispatch(d["order_extract"], d["working_days"]))
+    d.define("vendor_quality", lambda: vendor_quality(d["order_extract"]))
+    d.define("vendor_ratings", lambda: vendor_ratings(t["product_variants"], t["products"], t["suppliers"],
+                                                      t["product_reviews"]))
+    d.define("vendor_assortment", lambda: vendor_assortment(t["product_variants"], t["products"], t["suppliers"]))
+    d.define("vendor_spine", lambda: vendor_spine(d["vendor_dispatch"], d["vendor_assortment"],
+                                                  d["vendor_ratings"], d["vendor_quality"]))
+    d.define("vendor_scorecard", lambda: vendor_scorecard(d["vendor_spine"], d["vendor_quality"],
+                                                          d["vendor_assortment"], d["vendor_dispatch"],
+                                                          d["vendor_ratings"], p))
+    return d
