@@ -11,8 +11,8 @@ Here it is rewritten as equi joins:
 2. intervals per key are merged into islands (overlapping day ranges), so that
    days covered by several intervals are counted once, as ``count(distinct)``
    does;
-3. an island ``[s, e]`` holds ``cum(e) - cum(s - 1)`` working days: two
-   broadcast lookups and a subtraction.
+3. an island ``[s, e]`` holds ``cum(e) - cum(s - 1)`` working days: both
+   ends looked up in one broadcast equi join, then summed with signs.
 
 Keys whose total is 0 are dropped, exactly as the inner band join drops them.
 """
@@ -61,15 +61,21 @@ def working_days(intervals: DataFrame, key: str, start: str, end: str,
                  out: str = "days") -> DataFrame:
     """``(key, out)``: distinct working days covered by each key's intervals."""
     index = working_day_index(calendar, dt, is_working)
-    span = index.agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
-    islands = merge_intervals(intervals, key, start, end).crossJoin(F.broadcast(span))
+    # The index bounds as scalar subqueries (evaluated once, no join): days
+    # outside the calendar are clamped to its ends, where the count is 0
+    # before it and the full total after it.
+    lo = index.agg(F.min("day")).scalar()
+    hi = index.agg(F.max("day")).scalar()
 
     def clamp(c: Column) -> Column:
-        return F.least(F.greatest(c, F.col("_lo")), F.col("_hi"))
+        return F.least(F.greatest(c, lo), hi)
 
-    islands = islands.select(key, clamp(F.date_sub("s", 1)).alias("_before"), clamp(F.col("e")).alias("_last"))
-    before = F.broadcast(index.withColumnRenamed("day", "_before").withColumnRenamed("cum", "_c0"))
-    last = F.broadcast(index.withColumnRenamed("day", "_last").withColumnRenamed("cum", "_c1"))
-    counted = islands.join(before, "_before").join(last, "_last")
-    return (counted.groupBy(key).agg(F.sum(F.col("_c1") - F.col("_c0")).alias(out))
+    # Both ends of an island in one lookup: cum(e) counts +1, cum(s - 1) counts -1.
+    ends = (merge_intervals(intervals, key, start, end)
+            .select(key, F.explode(F.array(
+                F.struct(clamp(F.col("e")).alias("day"), F.lit(1).alias("sign")),
+                F.struct(clamp(F.date_sub("s", 1)).alias("day"), F.lit(-1).alias("sign")))).alias("_end"))
+            .select(key, "_end.day", "_end.sign"))
+    counted = ends.join(F.broadcast(index), "day")
+    return (counted.groupBy(key).agg(F.sum(F.col("cum") * F.col("sign")).alias(out))
             .where(F.col(out) > 0))

@@ -16,17 +16,12 @@ def rate_of_sale(mart: DataFrame, inventory: DataFrame, p: P.RateOfSaleParams =
     """Units per day and revenue at risk over the trailing window, with
     stock on hand.
 
-    The window end is the latest order date (or ``p.as_of``): a one-row
-    aggregate cross-joined by broadcast, so the whole computation stays one
-    plan and nothing is collected.  Stock is summed per SKU before the join.
+    The window end is the latest order date (or ``p.as_of``), a scalar
+    subquery: the whole computation stays one plan and nothing is collected
+    by the caller.  Stock is summed per SKU before the join.
     """
-    if p.as_of:
-        bounds = mart.sparkSession.range(1).select(F.to_date(F.lit(p.as_of)).alias("_hi"))
-    else:
-        bounds = mart.agg(F.max("OrderDate").alias("_hi"))
-    bounds = bounds.select("_hi", F.date_sub("_hi", p.window_days).alias("_lo"))
-    window = (mart.crossJoin(F.broadcast(bounds))
-              .where(F.col("OrderDate").between(F.col("_lo"), F.col("_hi"))))
+    hi = F.to_date(F.lit(p.as_of)) if p.as_of else mart.agg(F.max("OrderDate")).scalar()
+    window = mart.where(F.col("OrderDate").between(F.date_sub(hi, p.window_days), hi))
     # Per-line price per unit as an exact decimal, so the average does not
     # depend on the order of addition.
     unit_price = safe_div("SellingPrice", "UnitsSold").cast("decimal(38,10)")
