@@ -66,7 +66,8 @@ def run_scorecard(spark: SparkSession, input_base: str, output_path: str, fmt: s
                   p: P.ScorecardParams = P.ScorecardParams()) -> str:
     t = readers.read_tables(spark, input_base, schemas.DATABASE_TABLES, fmt)
     d = build_scorecard(t, p)
-    sinks.write_tsv(d["vendor_scorecard"], output_path)
+    # One row per (month, vendor): bounded by the vendor count, one file.
+    sinks.write_tsv(d["vendor_scorecard"], output_path, single_file=True)
     return output_path
 
 

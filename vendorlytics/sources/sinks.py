@@ -18,7 +18,13 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
     w.parquet(path)
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated text: header row, NULL as empty string, no row names."""
+def write_tsv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """Tab-separated text: header row, NULL as empty string, no row names.
+
+    ``single_file`` writes one part file (one header); use it only for results
+    whose size is bounded independently of the input (e.g. one row per vendor),
+    never for fact-sized output."""
+    if single_file:
+        df = df.coalesce(1)
     (df.write.mode("overwrite").option("sep", "\t").option("header", "true")
      .option("nullValue", "").option("emptyValue", "").csv(path))
