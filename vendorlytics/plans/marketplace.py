@@ -20,13 +20,16 @@ OUTPUTS = ("sales", "catalogue", "sku_catalogue", "return_claims", "allocated",
 
 def build_marketplace(t: dict[str, DataFrame], ros: P.RateOfSaleParams = P.RateOfSaleParams(),
                       pnl_params: P.PnlParams = P.PnlParams(), src: P.SourcingParams = P.SourcingParams(),
-                      tie_break: Sequence[str] | None = None) -> Datasets:
-    """All datasets as lazy DataFrames, each built on first access.  The mart
-    feeds five consumers; a job that writes several outputs persists it once
+                      tie_break: Sequence[str] | None = None, persist: bool = False) -> Datasets:
+    """All datasets as lazy DataFrames, each built on first access.  With
+    ``persist`` the cleaned catalogue (read by three datasets) is computed
+    once.  The wide sales tables are not persisted: measured at sf0.1, building
+    the in-memory cache of forty columns costs more than recomputing them; a
+    job that writes several outputs writes the mart and reads it back instead
     (see ``plans.jobs``)."""
-    d = Datasets()
+    d = Datasets(persist)
     d.define("sales", lambda: sales.ingest_sales(t["sales_items"]))
-    d.define("catalogue", lambda: sales.clean_catalogue(t["catalogue"]))
+    d.define("catalogue", lambda: sales.clean_catalogue(t["catalogue"]), shared=True)
     d.define("sku_catalogue", lambda: sales.sku_catalogue(d["catalogue"]))
     d.define("return_claims", lambda: sales.return_claims(t["returns"]))
     d.define("allocated", lambda: sales.allocate_returns(d["sales"], d["return_claims"], tie_break))

@@ -233,13 +233,15 @@ def vendor_scorecard(spine: DataFrame, quality: DataFrame, assortment: DataFrame
     )
 
 
-def build_scorecard(t: dict[str, DataFrame], p: P.ScorecardParams = P.ScorecardParams()) -> Datasets:
+def build_scorecard(t: dict[str, DataFrame], p: P.ScorecardParams = P.ScorecardParams(),
+                    persist: bool = False) -> Datasets:
     """The whole database pipeline from the eleven operational tables, each
-    dataset built on first access."""
-    d = Datasets()
+    dataset built on first access.  The extract feeds four datasets; with
+    ``persist`` it is computed once."""
+    d = Datasets(persist)
     d.define("order_extract", lambda: order_extract(
         t["orders"], t["order_items"], t["product_variants"], t["products"], t["suppliers"], t["return_items"],
-        t["returns"], t["shipping_order_items"], t["shipping_packages"], p))
+        t["returns"], t["shipping_order_items"], t["shipping_packages"], p), shared=True)
     d.define("working_days", lambda: dispatch_working_days(d["order_extract"], t["calendar_h"], p))
     d.define("vendor_dispatch", lambda: vendor_dispatch(d["order_extract"], d["working_days"]))
     d.define("vendor_quality", lambda: vendor_quality(d["order_extract"]))
