@@ -1,0 +1 @@
+"""Column-expression helpers (``expr``)."""

@@ -16,9 +16,8 @@ import argparse
 from pyspark.sql import SparkSession
 
 from vendorlytics import params as P
-from vendorlytics.plans import listing, pnl, shipping, sourcing
+from vendorlytics.plans import listing, pnl, scorecard, shipping, sourcing
 from vendorlytics.plans.marketplace import build_marketplace
-from vendorlytics.plans.scorecard import build_scorecard
 from vendorlytics.sources import readers, schemas, sinks
 
 # Output table names of the spreadsheet pipeline (fixed values).
@@ -63,11 +62,25 @@ def run_marketplace(spark: SparkSession, input_base: str, output_base: str, fmt:
 
 
 def run_scorecard(spark: SparkSession, input_base: str, output_path: str, fmt: str = "parquet",
-                  p: P.ScorecardParams = P.ScorecardParams()) -> str:
+                  p: P.ScorecardParams = P.ScorecardParams(), work_path: str | None = None) -> str:
+    """The extract (nine-table join) feeds four datasets: it is written once
+    (month-partitioned, under ``work_path`` or next to the output) and read
+    back, so it is computed once and later stages restart from it."""
     t = readers.read_tables(spark, input_base, schemas.DATABASE_TABLES, fmt)
-    d = build_scorecard(t, p)
+    extract_path = work_path or output_path.rstrip("/") + "_extract"
+    sinks.write_table(scorecard.order_extract(
+        t["orders"], t["order_items"], t["product_variants"], t["products"], t["suppliers"], t["return_items"],
+        t["returns"], t["shipping_order_items"], t["shipping_packages"], p), extract_path, partition_by=("order_mnt",))
+    extract = spark.read.parquet(extract_path)
+    days = scorecard.dispatch_working_days(extract, t["calendar_h"], p)
+    dispatch = scorecard.vendor_dispatch(extract, days)
+    quality = scorecard.vendor_quality(extract)
+    ratings = scorecard.vendor_ratings(t["product_variants"], t["products"], t["suppliers"], t["product_reviews"])
+    assortment = scorecard.vendor_assortment(t["product_variants"], t["products"], t["suppliers"])
+    spine = scorecard.vendor_spine(dispatch, assortment, ratings, quality)
+    card = scorecard.vendor_scorecard(spine, quality, assortment, dispatch, ratings, p)
     # One row per (month, vendor): bounded by the vendor count, one file.
-    sinks.write_tsv(d["vendor_scorecard"], output_path, single_file=True)
+    sinks.write_tsv(card, output_path, single_file=True)
     return output_path
 
 

@@ -1,0 +1,2 @@
+"""Declared schemas, readers (parquet/CSV/JDBC), sinks (parquet, TSV) and the
+test-data proxies."""

@@ -1,0 +1,8 @@
+"""Intentionally empty.
+
+The modelled workload is two batch pipelines (full recompute, overwrite): it
+has no stream source, watermark, event-time window or state.  Every plan here
+is a batch DataFrame plan; a daily run recomputes its month partitions (see
+``sources.sinks.write_table`` with ``partition_by``).  No streaming operator is
+claimed.
+"""
