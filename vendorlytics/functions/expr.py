@@ -4,9 +4,11 @@ whole-stage codegen; none is a Python UDF."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(c: str | Column) -> Column:
@@ -94,3 +96,23 @@ def bucket(value: str | Column, bounds: Sequence[tuple[float, str]], top_label:
 
 def typed_null(dtype: str) -> Column:
     return F.lit(None).cast(dtype)
+
+
+def sum_money(df, name: str) -> Column:
+    """``exact_sum`` of column ``name`` of ``df`` (type taken from its schema)."""
+    return exact_sum(name, df.schema[name].dataType)
+
+
+def exact_sum(c: str | Column, dtype) -> Column:
+    """``sum`` of a money column (decimal, scale <= 6), accumulated as exact
+    64-bit unscaled integers instead of Spark's ``decimal(p+10, s)`` buffer (a
+    Java BigDecimal per update once p + 10 > 18; about twice as slow).
+
+    Each value is first cast to ``decimal(18, s)`` (under 10^12 units); a
+    value or a total that does not fit raises (ANSI mode) instead of wrapping.
+    Other types fall back to ``sum``."""
+    if not isinstance(dtype, T.DecimalType) or dtype.scale > 6:
+        return F.sum(col(c))
+    s = dtype.scale
+    unscaled = (col(c).cast(f"decimal(18,{s})") * F.lit(10 ** s)).cast("long")
+    return (F.sum(unscaled).cast("decimal(38,0)") * F.lit(Decimal(1).scaleb(-s))).cast(f"decimal(38,{s})")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics import params as P
-from vendorlytics.functions.expr import ilike, safe_div
+from vendorlytics.functions.expr import ilike, safe_div, sum_money
 
 ROS_KEYS = ("ItemSKUCode", "Facility", "UC_Category", "SubCat", "Category", "Department", "ProductName")
 
@@ -39,7 +39,7 @@ def category_revenue(mart: DataFrame, calendar: DataFrame) -> DataFrame:
     return (mart.where(F.col("OrderStatus") == P.STATUS_COMPLETE)
             .join(cal, "OrderDate", "left")
             .groupBy(F.col("ChannelProductID").alias("ChannelProductId"), "Category", "Order_Month")
-            .agg(F.sum("SellingPrice").alias("Revenue")))
+            .agg(sum_money(mart, "SellingPrice").alias("Revenue")))
 
 
 def _active(listing: DataFrame) -> DataFrame:

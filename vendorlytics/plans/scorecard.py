@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics import params as P
-from vendorlytics.functions.expr import band, date_text, first_match, month_text, safe_div, shift_minutes
+from vendorlytics.functions.expr import band, first_match, month_text, safe_div, shift_minutes, sum_money
 from vendorlytics.operators.conditional_distinct import conditional_distinct_counts
 from vendorlytics.operators.union import union_distinct
 from vendorlytics.operators.working_days import working_days
@@ -95,7 +95,7 @@ def order_extract(orders: DataFrame, order_items: DataFrame, product_variants: D
         (F.upper("courier_status").isin(*P.DB_DELIVERED_COURIER_STATUSES), P.DB_STATUS_DELIVERED),
     ], F.col("status"))
     mistake = F.when(F.col("manufacturer_mistake"), P.YES).when(~F.col("manufacturer_mistake"), P.NO)
-    return (fact.select(
+    rows = fact.select(
                 month_text("_local").alias("order_mnt"),
                 F.to_date("_local").alias("order_dt"),
                 F.to_date(shift_minutes("dispatched_at", off)).alias("dispatch_dt"),
@@ -105,9 +105,9 @@ def order_extract(orders: DataFrame, order_items: DataFrame, product_variants: D
                 "return_reason",
                 status.alias("order_status"),
                 "_lp", "_cp")
-            .groupBy("order_mnt", "order_dt", "dispatch_dt", "order_no", "display_name", "tracking_number",
-                     "manufacturer_mistake", "return_reason", "order_status")
-            .agg(F.sum("_lp").alias("lp"), F.sum("_cp").alias("cp")))
+    return (rows.groupBy("order_mnt", "order_dt", "dispatch_dt", "order_no", "display_name", "tracking_number",
+                         "manufacturer_mistake", "return_reason", "order_status")
+            .agg(sum_money(rows, "_lp").alias("lp"), sum_money(rows, "_cp").alias("cp")))
 
 
 def dispatch_working_days(extract: DataFrame, calendar: DataFrame,

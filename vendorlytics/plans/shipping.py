@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics import params as P
-from vendorlytics.functions.expr import ilike
+from vendorlytics.functions.expr import ilike, sum_money
 from vendorlytics.operators.union import union_distinct
 
 CHARGE_COLUMNS = ("AWB", "OrderNo", "OrderDate", "CODCost", "ShippingCharge")
@@ -42,7 +42,7 @@ def shipment_facts(mart: DataFrame) -> DataFrame:
     """Selling price per (AWB, facility, order date, provider, pincode,
     state, district)."""
     return (mart.groupBy("AWB", "Facility", "OrderDate", "ShippingProvider", "Pincode", "State", "District")
-            .agg(F.sum("SellingPrice").alias("SellingPrice")))
+            .agg(sum_money(mart, "SellingPrice").alias("SellingPrice")))
 
 
 def shipping_ledger(charges: DataFrame, facts: DataFrame) -> DataFrame:

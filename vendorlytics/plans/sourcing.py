@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics import params as P
-from vendorlytics.functions.expr import ilike, strip_chars, typed_null
+from vendorlytics.functions.expr import ilike, strip_chars, sum_money, typed_null
 from vendorlytics.operators.live_periods import expand_months
 
 MATERIAL_FIELD = "Metafield: my_fields.material [list.single_line_text_field]"
@@ -100,7 +100,7 @@ def monthly_sku_sales(mart: DataFrame) -> DataFrame:
     """Completed units and listing price per (month, seller SKU)."""
     return (mart.where(F.col("OrderStatus") == P.STATUS_COMPLETE)
             .groupBy(F.col("Month").alias("ReportMonth"), "SellerSKU")
-            .agg(F.sum("UnitsSold").alias("UnitsSold"), F.sum("ListingPrice").alias("ListingPrice")))
+            .agg(F.sum("UnitsSold").alias("UnitsSold"), sum_money(mart, "ListingPrice").alias("ListingPrice")))
 
 
 def _avg_money(c: str) -> Column:
