@@ -43,7 +43,7 @@ def for_check(df: DataFrame) -> DataFrame:
 
 
 def _scorecard(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return scorecard.build_scorecard(scorecard_tables(TestTables(spark, sf_dir)), TEST_SCORECARD)
+    return scorecard.build_scorecard(scorecard_tables(TestTables(spark, sf_dir)), TEST_SCORECARD, persist=True)
 
 
 def _pick(builder: Callable[[SparkSession, str], dict[str, DataFrame]], name: str):

@@ -12,7 +12,7 @@ from vendorlytics.plans import listing, pnl, sales, shipping, sourcing
 from vendorlytics.plans.lazy import Datasets
 
 OUTPUTS = ("sales", "catalogue", "sku_catalogue", "return_claims", "allocated", "first_order_month",
-           "order_totals", "sales_mart", "rate_of_sale", "category_revenue", "active_listing",
+           "order_totals", "mart_lines", "sales_mart", "rate_of_sale", "category_revenue", "active_listing",
            "launch_month_revenue", "carrier_union", "shipment_facts", "shipping_ledger", "facility_dim",
            "pnl_lines", "pnl_cost_lines", "pnl_month_facility", "metafields", "material_clean",
            "product_header", "catalogue_segments", "catalogue_union", "monthly_sku_sales", "sourcing_report")
@@ -35,18 +35,20 @@ def build_marketplace(t: dict[str, DataFrame], ros: P.RateOfSaleParams = P.RateO
     d.define("allocated", lambda: sales.allocate_returns(d["sales"], d["return_claims"], tie_break))
     d.define("first_order_month", lambda: sales.first_order_month(d["allocated"]))
     d.define("order_totals", lambda: sales.order_totals(d["allocated"]))
-    d.define("sales_mart", lambda: sales.sales_mart(d["allocated"], t["listing_master"], t["calendar"],
+    d.define("mart_lines", lambda: sales.mart_lines(d["allocated"], t["listing_master"], t["calendar"],
                                                     t["pincodes"], d["sku_catalogue"], t["subcat_map"]))
+    d.define("sales_mart", lambda: sales.aggregate_mart(d["mart_lines"]))
 
     d.define("rate_of_sale", lambda: listing.rate_of_sale(d["sales_mart"], t["inventory"], ros))
-    d.define("category_revenue", lambda: listing.category_revenue(d["sales_mart"], t["calendar"]))
+    # Sums over coarser keys read the mart's rows before its grouping (same sums).
+    d.define("category_revenue", lambda: listing.category_revenue(d["mart_lines"], t["calendar"]))
     d.define("active_listing", lambda: listing.active_listing(
         t["listing_master"], t["item_master_2"], t["calendar"], d["category_revenue"], d["catalogue"]))
     d.define("launch_month_revenue", lambda: listing.launch_month_revenue(
         d["category_revenue"], t["listing_master"], t["calendar"], t["item_master_2"], d["catalogue"]))
 
     d.define("carrier_union", lambda: shipping.carrier_union(t["carrier_a"], t["carrier_b"], t["carrier_c"]))
-    d.define("shipment_facts", lambda: shipping.shipment_facts(d["sales_mart"]))
+    d.define("shipment_facts", lambda: shipping.shipment_facts(d["mart_lines"]))
     d.define("shipping_ledger", lambda: shipping.shipping_ledger(d["carrier_union"], d["shipment_facts"]))
     d.define("facility_dim", lambda: shipping.facility_dim(d["shipment_facts"]))
 
@@ -61,7 +63,7 @@ def build_marketplace(t: dict[str, DataFrame], ros: P.RateOfSaleParams = P.RateO
         d["catalogue"], d["metafields"], d["material_clean"], d["product_header"]))
     d.define("catalogue_union", lambda: sourcing.textiles(
         d["catalogue"], d["metafields"], d["material_clean"], d["product_header"]))
-    d.define("monthly_sku_sales", lambda: sourcing.monthly_sku_sales(d["sales_mart"]))
+    d.define("monthly_sku_sales", lambda: sourcing.monthly_sku_sales(d["mart_lines"]))
     d.define("sourcing_report", lambda: sourcing.sourcing_report(
         d["catalogue_union"], t["calendar"], d["monthly_sku_sales"], t["subcat_map"], src))
     return d
