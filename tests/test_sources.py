@@ -34,12 +34,15 @@ def test_sales_sheet_rename_by_header(spark):
     values = [sample.get(types.get(dst, "string"), "1.5") for _, dst in schemas.SALES_SHEET_COLUMNS]
     values[header.index("Packet Number")] = "3"
     values[header.index("Item Type EAN")] = "12.50"
+    values[header.index("Order Date as dd/mm/yyyy hh:MM:ss")] = "02/06/2023 10:30:00"
     path = os.path.join(base, "sales.csv")
     with open(path, "w") as fh:
         fh.write(",".join(f'"{h}"' for h in header) + "\n" + ",".join(values) + "\n")
     df = readers.read_sales_sheet(spark, path)
     r = df.collect()[0]
-    assert r["UnitsSold"] == 3 and float(r["ListingPrice"]) == 12.5 and r["OrderDate"].year == 2023
+    assert r["UnitsSold"] == 3 and float(r["ListingPrice"]) == 12.5
+    assert (r["OrderDate"].day, r["OrderDate"].month) == (2, 6)       # day-first text
+    assert r["DispatchDate"].year == 2023                              # ISO text
 
 
 def test_partitioned_table_round_trip(spark):

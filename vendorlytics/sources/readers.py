@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from vendorlytics.plans.lazy import Datasets
 from vendorlytics.sources import schemas
 
+# Day-first timestamp text of the sales sheet export (fixed value).
+SHEET_TIMESTAMP_FORMAT = "dd/MM/yyyy HH:mm:ss"
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the declared columns (case-insensitive match) cast to their
@@ -49,6 +52,11 @@ def read_sales_sheet(spark: SparkSession, path: str, fmt: str = "csv",
     reader = spark.read.options(**dict(options or {}))
     raw = reader.option("header", "true").csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     renamed = raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in schemas.SALES_SHEET_COLUMNS])
+    # Text timestamps: the export's day-first pattern, else ISO.
+    text_ts = {f.name for f in schemas.SALES_ITEMS.fields if isinstance(f.dataType, T.TimestampType)
+               and isinstance(renamed.schema[f.name].dataType, T.StringType)}
+    renamed = renamed.withColumns({c: F.coalesce(F.try_to_timestamp(F.col(c), F.lit(SHEET_TIMESTAMP_FORMAT)),
+                                                 F.try_to_timestamp(F.col(c))) for c in text_ts})
     return conform(renamed, schemas.SALES_ITEMS)
 
 
