@@ -33,7 +33,7 @@ from vendorlytics.plans.scorecard import build_scorecard  # noqa: E402
 from vendorlytics.session import build_session  # noqa: E402
 from vendorlytics.sources import readers, schemas, sinks  # noqa: E402
 from vendorlytics.sources.proxies import sales_tables, scorecard_tables  # noqa: E402
-from vendorlytics.sources.testdata import TestTables  # noqa: E402
+from vendorlytics.sources.testdata import DriverTables  # noqa: E402
 
 HEADLINE = {
     "return_allocation": ("marketplace", "allocated"),      # D5
@@ -49,7 +49,7 @@ PLAN_OPS = ("BroadcastNestedLoopJoin", "CartesianProduct", "Expand", "SortMergeJ
 
 
 def prepare(spark, sf_dir: str, work: str) -> None:
-    t = TestTables(spark, sf_dir)
+    t = DriverTables(spark, sf_dir)
     for group, tables, decl in (("marketplace", sales_tables(t), schemas.SPREADSHEET_TABLES),
                                 ("scorecard", scorecard_tables(t), schemas.DATABASE_TABLES)):
         for name, schema in decl.items():

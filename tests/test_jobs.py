@@ -8,7 +8,7 @@ from vendorlytics.catalog_params import TEST_PNL, TEST_ROS, TEST_SCORECARD, TEST
 from vendorlytics.plans import jobs
 from vendorlytics.sources import readers, schemas, sinks
 from vendorlytics.sources.proxies import sales_tables, scorecard_tables
-from vendorlytics.sources.testdata import TestTables
+from vendorlytics.sources.testdata import DriverTables
 
 from conftest import SF_SMALL
 
@@ -20,7 +20,7 @@ def _stage(spark, tables, decl, base):
 
 def test_marketplace_job_writes_all_outputs(spark):
     work = tempfile.mkdtemp(prefix="vl-job-")
-    _stage(spark, sales_tables(TestTables(spark, SF_SMALL)), schemas.SPREADSHEET_TABLES, f"{work}/in")
+    _stage(spark, sales_tables(DriverTables(spark, SF_SMALL)), schemas.SPREADSHEET_TABLES, f"{work}/in")
     paths = jobs.run_marketplace(spark, f"{work}/in", f"{work}/out", ros=TEST_ROS, pnl_params=TEST_PNL,
                                  src=TEST_SOURCING)
     assert set(paths) == set(jobs.MARKETPLACE_OUTPUTS)
@@ -30,7 +30,7 @@ def test_marketplace_job_writes_all_outputs(spark):
 
 def test_scorecard_job_writes_tsv(spark):
     work = tempfile.mkdtemp(prefix="vl-job-")
-    _stage(spark, scorecard_tables(TestTables(spark, SF_SMALL)), schemas.DATABASE_TABLES, f"{work}/in")
+    _stage(spark, scorecard_tables(DriverTables(spark, SF_SMALL)), schemas.DATABASE_TABLES, f"{work}/in")
     out = jobs.run_scorecard(spark, f"{work}/in", f"{work}/card", p=TEST_SCORECARD)
     files = [f for f in os.listdir(out) if f.endswith(".csv")]
     assert len(files) == 1

@@ -22,7 +22,7 @@ from vendorlytics.plans import scorecard, shipping
 from vendorlytics.plans.marketplace import build_marketplace
 from vendorlytics.plans.sales import lifecycle_status
 from vendorlytics.sources.proxies import sales_tables, scorecard_tables
-from vendorlytics.sources.testdata import TestTables
+from vendorlytics.sources.testdata import DriverTables
 
 
 def for_check(df: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def for_check(df: DataFrame) -> DataFrame:
 
 
 def _scorecard(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return scorecard.build_scorecard(scorecard_tables(TestTables(spark, sf_dir)), TEST_SCORECARD, persist=True)
+    return scorecard.build_scorecard(scorecard_tables(DriverTables(spark, sf_dir)), TEST_SCORECARD, persist=True)
 
 
 def _pick(builder: Callable[[SparkSession, str], dict[str, DataFrame]], name: str):
@@ -54,7 +54,7 @@ def _pick(builder: Callable[[SparkSession, str], dict[str, DataFrame]], name: st
 
 
 def _marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    t = sales_tables(TestTables(spark, sf_dir))
+    t = sales_tables(DriverTables(spark, sf_dir))
     d = build_marketplace(t, TEST_ROS, TEST_PNL, TEST_SOURCING)
     projected = ("SaleOrderItemCode", "DisplayOrderCode", "SellerSKU", "UnitsSold", "ListingPrice")
     d.define("return_allocation", lambda: d["allocated"].select(

@@ -7,7 +7,7 @@ as default, so that a run is reproducible and nothing is pasted into SQL text.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # --------------------------------------------------------------------------
 # Code lists and labels that must equal the original workload's
@@ -156,5 +156,6 @@ class PnlParams:
 
 @dataclass(frozen=True)
 class SourcingParams:
+    """Sourcing report: report months up to and including ``cutoff_month``."""
+
     cutoff_month: str = "2023-06"
-    segments: dict = field(default_factory=dict)

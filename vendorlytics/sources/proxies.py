@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics.plans.lazy import Datasets
-from vendorlytics.sources.testdata import TestTables
+from vendorlytics.sources.testdata import DriverTables
 
 
 def _div(c: Column | str, n: int) -> Column:
@@ -47,7 +47,7 @@ def _item_id() -> Column:
     return F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100
 
 
-def scorecard_tables(t: TestTables) -> dict[str, DataFrame]:
+def scorecard_tables(t: DriverTables) -> dict[str, DataFrame]:
     L, O, PT, S, E = t["lineitem"], t["orders"], t["part"], t["supplier"], t["events"]
 
     orders = _order_created(O).select(
@@ -180,7 +180,7 @@ def _seller_sku(partkey: str) -> Column:
     return _code("VS", F.col(partkey) % 40)
 
 
-def sales_tables(t: TestTables) -> Datasets:
+def sales_tables(t: DriverTables) -> Datasets:
     """The thirteen spreadsheet-pipeline tables, each built on first use."""
     L, O, PT, S, C, N, R = (t["lineitem"], t["orders"], t["part"], t["supplier"], t["customer"],
                             t["nation"], t["region"])
@@ -345,7 +345,7 @@ SALES_TABLE_NAMES = ("sales_items", "returns", "listing_master", "item_master_2"
                      "subcat_map", "catalogue", "inventory", "metafields", "carrier_a", "carrier_b", "carrier_c")
 
 
-def _subcat_dim(t: TestTables) -> DataFrame:
+def _subcat_dim(t: DriverTables) -> DataFrame:
     spark = t.spark
     return spark.createDataFrame(list(SUBCAT_ROWS), "SubCat string, Category string, Dep string")
 

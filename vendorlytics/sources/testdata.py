@@ -13,7 +13,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SPREAD = ("customer", "part", "orders", "lineitem", "events")
 
 
-class TestTables(dict):
+class DriverTables(dict):
     """Lazily read ``{sf_dir}/{name}.parquet``; each table is read on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
