@@ -7,8 +7,9 @@
    deployment would hold them (timed separately, ``prep_sec``);
 2. each headline dataset is built from those tables through the declared-
    schema readers and fully materialised with the ``noop`` sink (every column
-   computed, nothing written), once cold and once warm; intermediates read by
-   several datasets are persisted within a run and dropped after it;
+   computed, nothing written), once cold and twice warm (the faster warm run
+   is reported: timings on a shared VM vary); intermediates read by several
+   datasets are persisted within a run and dropped after it;
 3. the flagship scorecard is also timed end to end from the raw test tables
    (``flagship_e2e_sec``).
 
@@ -79,12 +80,14 @@ def main() -> None:
     plans: dict[str, dict] = {}
     for k in keys:
         group, name = HEADLINE[k]
-        for run in ("cold", "warm"):
+        times = []
+        for _ in range(3):
             t0 = time.perf_counter()
             df = datasets(spark, work)[group][name]
             df.write.format("noop").mode("overwrite").save()
-            (cold if run == "cold" else warm)[k] = round(time.perf_counter() - t0, 3)
+            times.append(round(time.perf_counter() - t0, 3))
             spark.catalog.clearCache()  # nothing carries over to the next run
+        cold[k], warm[k] = times[0], min(times[1:])
         plan = df._jdf.queryExecution().executedPlan().toString()
         plans[k] = {op: len(re.findall(op, plan)) for op in PLAN_OPS}
 

@@ -33,10 +33,12 @@ def build_marketplace(t: dict[str, DataFrame], ros: P.RateOfSaleParams = P.RateO
     d.define("sku_catalogue", lambda: sales.sku_catalogue(d["catalogue"]))
     d.define("return_claims", lambda: sales.return_claims(t["returns"]))
     d.define("allocated", lambda: sales.allocate_returns(d["sales"], d["return_claims"], tie_break))
-    d.define("first_order_month", lambda: sales.first_order_month(d["allocated"]))
-    d.define("order_totals", lambda: sales.order_totals(d["allocated"]))
+    # First month and order totals use no allocation column: read the lines.
+    d.define("first_order_month", lambda: sales.first_order_month(d["sales"]))
+    d.define("order_totals", lambda: sales.order_totals(d["sales"]))
     d.define("mart_lines", lambda: sales.mart_lines(d["allocated"], t["listing_master"], t["calendar"],
-                                                    t["pincodes"], d["sku_catalogue"], t["subcat_map"]))
+                                                    t["pincodes"], d["sku_catalogue"], t["subcat_map"],
+                                                    d["sales"]))
     d.define("sales_mart", lambda: sales.aggregate_mart(d["mart_lines"]))
 
     d.define("rate_of_sale", lambda: listing.rate_of_sale(d["sales_mart"], t["inventory"], ros))
