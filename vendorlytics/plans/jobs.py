@@ -12,12 +12,14 @@ the rest of the job restarts from the written mart, not from the raw inputs.
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import SparkSession
 
 from vendorlytics import params as P
 from vendorlytics.plans import listing, pnl, scorecard, shipping, sourcing
 from vendorlytics.plans.marketplace import build_marketplace
+from vendorlytics.session import checkpoint_dir
 from vendorlytics.sources import readers, schemas, sinks
 
 # Output table names of the spreadsheet pipeline (fixed values).
@@ -64,10 +66,11 @@ def run_marketplace(spark: SparkSession, input_base: str, output_base: str, fmt:
 def run_scorecard(spark: SparkSession, input_base: str, output_path: str, fmt: str = "parquet",
                   p: P.ScorecardParams = P.ScorecardParams(), work_path: str | None = None) -> str:
     """The extract (nine-table join) feeds four datasets: it is written once
-    (month-partitioned, under ``work_path`` or next to the output) and read
-    back, so it is computed once and later stages restart from it."""
+    (month-partitioned) to ``work_path``, by default a fresh folder under the
+    cluster's shared ``spark.checkpoint.dir``, and read back, so it is computed
+    once and later stages restart from it if an executor is lost."""
     t = readers.read_tables(spark, input_base, schemas.DATABASE_TABLES, fmt)
-    extract_path = work_path or output_path.rstrip("/") + "_extract"
+    extract_path = work_path or f"{checkpoint_dir(spark)}/vendorlytics-scorecard-{uuid.uuid4().hex}/extract"
     sinks.write_table(scorecard.order_extract(
         t["orders"], t["order_items"], t["product_variants"], t["products"], t["suppliers"], t["return_items"],
         t["returns"], t["shipping_order_items"], t["shipping_packages"], p), extract_path, partition_by=("order_mnt",))

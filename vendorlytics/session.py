@@ -47,10 +47,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Set here only when the session has none (local tests); on a cluster the
     setting must point at shared storage and is never overridden.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(current)
+        return current.rstrip("/")
     local = tempfile.mkdtemp(prefix="vendorlytics-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
