@@ -50,3 +50,18 @@ def test_query_matches_oracle(spark, duck, key):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "SKUCountScore" in df.columns
+
+
+@pytest.mark.parametrize("key", ["order_extract", "vendor_scorecard", "carrier_union"])
+def test_results_do_not_depend_on_session_time_zone(spark, duck, key):
+    """Timestamps are shifted by a fixed offset, never by the session zone."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = entry.queries()[key](spark, SF_SMALL)
+        got = _bag(df.columns, [tuple(r) for r in df.collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+        spark.catalog.clearCache()
+    res = duck.execute(entry.oracle_sql()[key])
+    assert got == _bag([d[0] for d in res.description], res.fetchall())
