@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from vendorlytics import params as P
 from vendorlytics.plans import listing, pnl, scorecard, shipping, sourcing
 from vendorlytics.plans.marketplace import build_marketplace
-from vendorlytics.session import checkpoint_dir
+from vendorlytics.session import build_session, checkpoint_dir
 from vendorlytics.sources import readers, schemas, sinks
 
 # Output table names of the spreadsheet pipeline (fixed values).
@@ -95,7 +95,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--format", default="parquet")
     ap.add_argument("--month", help="scorecard report month yyyy-MM (default: parameter default)")
     args = ap.parse_args(argv)
-    spark = SparkSession.builder.appName(f"vendorlytics-{args.job}").getOrCreate()
+    # Master, executors and partition sizing come from the cluster submission.
+    spark = build_session(app=f"vendorlytics-{args.job}")
     if args.job == "marketplace":
         run_marketplace(spark, args.input, args.output, args.format)
     else:
