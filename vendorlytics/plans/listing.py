@@ -12,15 +12,21 @@ from vendorlytics.functions.expr import ilike, safe_div, sum_money
 ROS_KEYS = ("ItemSKUCode", "Facility", "UC_Category", "SubCat", "Category", "Department", "ProductName")
 
 
-def rate_of_sale(mart: DataFrame, inventory: DataFrame, p: P.RateOfSaleParams = P.RateOfSaleParams()) -> DataFrame:
+def rate_of_sale(mart: DataFrame, inventory: DataFrame, p: P.RateOfSaleParams = P.RateOfSaleParams(),
+                 order_dates: DataFrame | None = None) -> DataFrame:
     """Units per day and revenue at risk over the trailing window, with
     stock on hand.
 
     The window end is the latest order date (or ``p.as_of``), a scalar
     subquery: the whole computation stays one plan and nothing is collected
     by the caller.  Stock is summed per SKU before the join.
+
+    ``order_dates`` (any frame with the lines' ``OrderDate``, e.g. the ingested
+    sales) gives the same latest date from a one-column scan; otherwise the
+    subquery would have to recompute the grouped mart.
     """
-    hi = F.to_date(F.lit(p.as_of)) if p.as_of else mart.agg(F.max("OrderDate")).scalar()
+    dates = mart if order_dates is None else order_dates
+    hi = F.to_date(F.lit(p.as_of)) if p.as_of else dates.agg(F.max("OrderDate")).scalar()
     window = mart.where(F.col("OrderDate").between(F.date_sub(hi, p.window_days), hi))
     # Per-line price per unit as an exact decimal, so the average does not
     # depend on the order of addition.

@@ -41,7 +41,8 @@ def build_marketplace(t: dict[str, DataFrame], ros: P.RateOfSaleParams = P.RateO
                                                     d["sales"]))
     d.define("sales_mart", lambda: sales.aggregate_mart(d["mart_lines"]))
 
-    d.define("rate_of_sale", lambda: listing.rate_of_sale(d["sales_mart"], t["inventory"], ros))
+    # Latest order date from the lines (every line is in the mart with its date).
+    d.define("rate_of_sale", lambda: listing.rate_of_sale(d["sales_mart"], t["inventory"], ros, d["sales"]))
     # Sums over coarser keys read the mart's rows before its grouping (same sums).
     d.define("category_revenue", lambda: listing.category_revenue(d["mart_lines"], t["calendar"]))
     d.define("active_listing", lambda: listing.active_listing(
