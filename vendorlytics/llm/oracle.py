@@ -3,3 +3,15 @@
 from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op6_warc"] = """
+WITH page AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages),
+ranked AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS smallest FROM page)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> smallest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> smallest THEN smallest END AS refers_to
+FROM ranked
+"""
