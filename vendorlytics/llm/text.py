@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Word separators of the library's word rule: space, tab, LF, VT, FF, CR.
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -188,7 +188,7 @@ class ChunkCache:
     that the cache lacks.
     """
 
-    def __init__(self, encode, limit: int = 400_000):
+    def __init__(self, encode, limit: int = 100_000):
         self.encode, self.limit, self.young, self.old = encode, limit, {}, {}
 
     def ids(self, chunks: pa.Array) -> pa.ListArray:
