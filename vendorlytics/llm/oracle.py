@@ -15,3 +15,32 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> smallest THEN smallest END AS refers_to
 FROM ranked
 """
+
+_WORD4 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op4_decontaminate"] = f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD4}') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD4}') AS w FROM benchmark),
+item_run AS (
+    SELECT item_id, least(len(w), 13) AS n,
+           unnest(list_transform(range(0, greatest(len(w) - 12, 1)), lambda i: array_to_string(w[i + 1:i + 13], ' '))) AS run
+    FROM item WHERE len(w) > 0),
+width AS (SELECT DISTINCT n FROM item_run),
+doc_run AS (
+    SELECT doc_id, n, unnest(list_transform(range(0, len(w) - n + 1),
+                                            lambda i: {{'begins': i, 'run': array_to_string(w[i + 1:i + n], ' ')}})) AS x
+    FROM doc, width WHERE len(w) >= n),
+hit AS (
+    SELECT d.doc_id, d.x.begins AS begins, d.n, i.item_id FROM doc_run d JOIN item_run i ON d.x.run = i.run AND d.n = i.n),
+covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+        SELECT DISTINCT doc_id, unnest(range(begins, begins + n)) AS p FROM hit) GROUP BY 1),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+        SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

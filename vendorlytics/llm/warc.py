@@ -275,7 +275,9 @@ def read_records(captured: DataFrame, folder: str) -> DataFrame:
                 yield _columns(RECORD, out)
                 i = j
 
-    return captured.select("file", "offset", "length", "url").repartition("file") \
+    # A fixed number of partitions: the rows are small, what they point to isn't.
+    tasks = int(captured.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return captured.select("file", "offset", "length", "url").repartition(tasks, "file") \
         .sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
 
 
