@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlytics.llm import decontaminate, pieces, token_files, warc
+from vendorlytics.llm import decontaminate, pieces, quality, token_files, warc
 from vendorlytics.llm.storage import fresh_folder
 
 
@@ -51,10 +51,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op3_token_files": op3_token_files,
         "op4_decontaminate": op4_decontaminate,
         "op6_warc": op6_warc,
+        "op10_quality": op10_quality,
     }
