@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlytics.llm import decontaminate, neardup, pieces, quality, token_files, warc
+from vendorlytics.llm import decontaminate, neardup, passages, pieces, quality, token_files, warc
 from vendorlytics.llm.storage import fresh_folder
 
 
@@ -49,6 +49,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.deduplicate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_duplicates": op2_near_duplicates,
         "op3_token_files": op3_token_files,
         "op4_decontaminate": op4_decontaminate,
+        "op5_passages": op5_passages,
         "op6_warc": op6_warc,
         "op10_quality": op10_quality,
     }

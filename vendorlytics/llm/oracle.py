@@ -44,3 +44,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+_WORD5 = r"[^\x20\x09-\x0D]+"
+
+ORACLE["op5_passages"] = f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD5}') AS w FROM documents),
+win AS (
+    SELECT doc_id, unnest(list_transform(range(0, len(w) - 19), lambda i: {{'begins': i, 'run': array_to_string(w[i + 1:i + 20], ' ')}})) AS x
+    FROM doc WHERE len(w) >= 20),
+placed AS (
+    SELECT doc_id, x.begins AS begins,
+           row_number() OVER (PARTITION BY x.run ORDER BY doc_id, x.begins) AS turn FROM win),
+gone AS (
+    SELECT doc_id, list(DISTINCT p) AS ps FROM (
+        SELECT DISTINCT doc_id, unnest(range(begins, begins + 20)) AS p FROM placed WHERE turn > 1) GROUP BY 1),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM doc),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM word
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS d, unnest(ps) AS q FROM gone) g WHERE g.d = word.doc_id AND g.q = word.p)
+    GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
