@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlytics.llm import decontaminate, neardup, passages, pieces, quality, token_files, warc
+from vendorlytics.llm import decontaminate, neardup, passages, pieces, quality, token_files, toxicity, warc
 from vendorlytics.llm.storage import fresh_folder
 
 
@@ -60,6 +60,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,5 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_passages": op5_passages,
         "op6_warc": op6_warc,
+        "op7_toxicity": op7_toxicity,
         "op10_quality": op10_quality,
     }

@@ -61,7 +61,7 @@ class Words:
         begins[1:] &= ~keep[:-1]
         starts = offsets[:-1][offsets[:-1] < offsets[1:]]
         begins[starts] = keep[starts]
-        at = np.flatnonzero(begins)
+        at = self.at = np.flatnonzero(begins)  # places in the texts' own bytes
         self.data = data[keep]
         before = np.cumsum(keep, dtype=np.int64)
         self.bounds = np.append(before[at] - 1, len(self.data))
@@ -115,21 +115,28 @@ def span_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     Prefix sums of ``value * base**position`` modulo 2**64, divided by the power
     at the span's start, so that equal spans hash alike wherever they stand.
     """
+    return hash_spans(span_sums(data), bounds[:-1], bounds[1:])
+
+
+def span_sums(data: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     for at in range(0, n, _BLOCK):  # in cache-sized blocks
         piece = _BYTE[data[at:at + _BLOCK]] * _POW[:min(_BLOCK, n - at)]
         piece *= _FAR_POW[at // _BLOCK] if at // _BLOCK < len(_FAR_POW) else np.uint64(pow(int(_BASE), at, 1 << 64))
         sums[at + 1:at + 1 + len(piece)] = piece
-    np.cumsum(sums, out=sums)
-    starts = bounds[:-1]
+    return np.cumsum(sums, out=sums)
+
+
+def hash_spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans ``starts[i]:ends[i]`` of the bytes behind ``sums``."""
     back = _INV[starts % _BLOCK]
     far = starts // _BLOCK
-    if len(far) and far[-1] >= len(_FAR_INV):
+    if len(far) and far.max() >= len(_FAR_INV):
         back = back * np.array([pow(int(_INVERSE), int(f) * _BLOCK, 1 << 64) for f in far], np.uint64)
     else:
         back = back * _FAR_INV[far]
-    return mix((sums[bounds[1:]] - sums[starts]) * back + (bounds[1:] - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
