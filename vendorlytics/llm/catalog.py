@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlytics.llm import decontaminate, neardup, passages, pieces, quality, token_files, toxicity, warc
+from vendorlytics.llm import (
+    decontaminate,
+    language_model,
+    lines,
+    neardup,
+    passages,
+    pieces,
+    quality,
+    token_files,
+    toxicity,
+    warc,
+)
 from vendorlytics.llm.storage import fresh_folder
 
 
@@ -64,6 +75,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,5 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_passages": op5_passages,
         "op6_warc": op6_warc,
         "op7_toxicity": op7_toxicity,
+        "op8_lines": op8_lines,
+        "op9_language_model": op9_language_model,
         "op10_quality": op10_quality,
     }

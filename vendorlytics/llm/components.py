@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     star, mark = stored(both, "edges"), None
-    while True:
+    while not star.isEmpty():
         star = _step(star, "large")
         star = _step(star, "small")
         # Stars no longer change; sums of both ends tell sets of edges apart.
@@ -46,3 +46,35 @@ def _step(star: DataFrame, kind: str) -> DataFrame:
     after = stored(out.where("v != u").distinct(), "edges")
     drop(star)
     return after
+
+
+def connect(buckets: DataFrame, plausible, confirm) -> DataFrame:
+    """(node, label) of all nodes that are linked with another one, from
+    ``buckets`` (bucket, rep), rows possibly repeated.
+
+    Every bucket is a star around its smallest rep; ``plausible`` narrows pairs (a,
+    b) by cheap exact bounds and ``confirm`` to true links.  Reps that the
+    confirmed links leave apart from their bucket's centre are paired with those
+    of the bucket that they aren't connected with.
+    """
+    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")) \
+        .where("centre != last").select("bucket", "centre")
+    shared = stored(buckets.join(centres, "bucket").select("bucket", "rep", "centre").distinct(), "buckets")
+    stars = shared.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = stored(plausible(stars), "pairs")
+    links = stored(confirm(pairs), "links")
+    labels = stored(components(links), "labels")
+    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
+        .withColumn("label", F.coalesce("label", "rep"))
+    main = named.where("rep = centre").select("bucket", F.col("label").alias("main"))
+    named = stored(named.join(main, "bucket").where("rep != centre"), "apart")
+    apart = named.where("label != main").select("bucket", F.col("rep").alias("x"), F.col("label").alias("lx"))
+    others = named.select("bucket", F.col("rep").alias("y"), F.col("label").alias("ly"))
+    more = apart.join(others, "bucket").where("lx != ly") \
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = stored(plausible(more.join(pairs, ["a", "b"], "left_anti")), "more-pairs")
+    rest = stored(confirm(more), "more-links")
+    out = stored(components(links.unionByName(rest)), "labels")
+    for used in (shared, pairs, links, labels, named, more, rest):
+        drop(used)
+    return out

@@ -227,11 +227,13 @@ class PieceModel:
             column = pc.replace_substring(column.fill_null(""), MARK, " ")
             data, offsets = text_bytes(column)
         full = offsets[:-1] < offsets[1:]
-        data = np.insert(data, offsets[:-1][full], 32)
-        offsets = offsets + np.append(0, np.cumsum(full))
-        begins = np.empty(len(data), bool)
+        return self.encode_spaced(np.insert(data, offsets[:-1][full], 32), offsets + np.append(0, np.cumsum(full)))
+
+    def encode_spaced(self, data: np.ndarray, offsets: np.ndarray) -> pa.LargeListArray:
+        """ids of texts that already have the space in front."""
+        begins = np.zeros(len(data), bool)
         begins[1:] = ~self.together[data[:-1], data[1:]]
-        begins[offsets[:-1][full]] = True
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(begins)
         lists = self.cache.ids(chunk_array(data, starts))
         sizes = np.diff(lists.offsets.to_numpy())
