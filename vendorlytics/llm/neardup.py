@@ -7,12 +7,15 @@ borrows from the first full bin of its own fixed probe sequence, the same for
 all documents.  ``ROWS`` bins make a band, whose hash is a bucket.
 
 Documents with equal sets form a class, known by its smallest id.  In a bucket,
-every class is paired with the smallest one only (a star), so a bucket of n
-classes costs n - 1 pairs.  Pairs are confirmed on the full sets.  Where the
-confirmed links leave classes of a bucket apart, those outside the bucket's main
-component are centres of further stars, against the classes they aren't
-connected with; so no pair of a bucket stays untested unless its ends are
-already connected.
+every class is paired with one centre only (a star), so a bucket of n classes
+costs n - 1 pairs, which are confirmed on the full sets.  The first centre is the
+smallest class.  Where a bucket's classes aren't all connected then, further stars
+follow around the class with the most confirmed links (the original of a family of
+copies).  What is still apart is compared block by block: blocks of about
+``BLOCK`` classes of a bucket meet each other with two bytes a shingle, whose
+counts bound the intersection from above, and only pairs that may be similar by
+that bound are confirmed.  So every pair that shares a bucket and isn't connected
+otherwise is looked at, while no table holds a row for each of them.
 
 Defined results: null or empty texts, or texts without words, have an empty set
 and link with nothing; a row without id isn't linked and its component is null;
@@ -36,7 +39,8 @@ from vendorlytics.llm.text import LOWER, Words, mix, slices, text_bytes, window_
 
 SHINGLE = 5
 SIMILAR = (75, 100)
-BINS, ROWS = 160, 4
+BINS, ROWS = 384, 6
+HUBS, BLOCK = 2, 256
 EMPTY = np.uint64(2**64 - 1)
 # Bin i tries bins start[i], start[i] + step[i], ...: steps are prime to BINS, so all are tried.
 _steps = [s for s in range(1, BINS) if np.gcd(s, BINS) == 1]
@@ -97,8 +101,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(part.column("text")))
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = band_keys(signature([sets[i] for i in some])) if some else None
                 bands, names = [None] * len(sets), [None] * len(sets)
+                keys = band_keys(signature([sets[i] for i in some]))
                 for k, i in enumerate(some):
                     bands[i] = keys[k]
                     names[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest()
@@ -112,21 +116,24 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the classes in ``wanted`` (rep, set_hash)."""
+    """(rep, n, shingles, marks) of the classes in ``wanted`` (rep, set_hash); marks
+    has two bytes of each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                kept = [(rep, s.astype("<u8").tobytes()) for rep, name, s in zip(
+                kept = [(rep, s) for rep, name, s in zip(
                     part.column("rep").to_pylist(), part.column("set_hash").to_pylist(),
                     shingle_sets(part.column("text")))
                     if hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == name]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())],
-                    ["rep", "shingles"])
+                    [pa.array([k for k, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()),
+                     pa.array([s.astype("<u8").tobytes() for _, s in kept], pa.binary()),
+                     pa.array([(s & np.uint64(65535)).astype("<u2").tobytes() for _, s in kept], pa.binary())],
+                    ["rep", "n", "shingles", "marks"])
 
     rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "set_hash", "text")
-    return rows.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+    return rows.mapInArrow(run, "rep long, n long, shingles binary, marks binary").dropDuplicates(["rep"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -159,6 +166,57 @@ def sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.where(F.least("na", "nb") * of >= F.greatest("na", "nb") * least).select("a", "b")
 
 
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of different labels in the same bucket that may be similar,
+    from rows (bucket, rep, label, size, n, marks), size being the bucket's."""
+    sides = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("sides", sides).withColumn("mine", F.pmod(F.xxhash64("rep"), sides).cast("int"))
+    # A block goes to the meetings with every block of its bucket, itself included.
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select(
+        "bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "rep", "label", "n", "marks")
+    fields = ["bucket", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in fields], 1)
+            cuts = np.append(0, np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if i == j:
+                    continue
+                if held and last != tuple(keys[i]):
+                    yield _meeting(held)
+                    held = []
+                last = tuple(keys[i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield _meeting(held)
+
+    return met.repartition(*fields).sortWithinPartitions(*fields).mapInArrow(run, "a long, b long").distinct()
+
+
+def _meeting(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held)
+    rep, label, n = (rows[c].to_numpy() for c in ("rep", "label", "n"))
+    least, of = SIMILAR
+    cells = 2048 if n.max() <= 1024 else 16384
+    marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), "<u2").astype(np.int64) % cells
+    table = np.bincount(np.repeat(np.arange(len(n)), n) * cells + marks, minlength=len(n) * cells) \
+        .astype(np.uint16 if n.max() < 65536 else np.int64).reshape(-1, cells)
+    a, b = [], []
+    for i in range(len(rep) - 1):
+        fewer, more = np.minimum(n[i], n[i + 1:]), np.maximum(n[i], n[i + 1:])
+        maybe = np.flatnonzero((label[i + 1:] != label[i]) & (fewer * of >= more * least)) + i + 1
+        if len(maybe):
+            both = np.minimum(table[maybe], table[i]).sum(1, dtype=np.int64)  # at least the true intersection
+            maybe = maybe[both * of >= least * (n[i] + n[maybe] - both)]
+            a.append(np.minimum(rep[i], rep[maybe]))
+            b.append(np.maximum(rep[i], rep[maybe]))
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [none])) for x in (a, b)], ["a", "b"])
+
+
 def link(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept."""
     sketched = stored(sketch(docs), "sketches")
@@ -173,30 +231,37 @@ def link(docs: DataFrame) -> DataFrame:
     ties = members.where("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id") \
         .agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1) \
         .select("a", F.explode("all").alias("b")).where("a != b")
+    drop(sketched)
 
     buckets = reps.select("rep", F.explode("bands").alias("bucket")).distinct()
     centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    shared = stored(buckets.join(centres, "bucket").select("bucket", "rep", "centre"), "buckets")
+    shared = stored(buckets.join(centres, "bucket").select("bucket", "rep", "centre", "size"), "buckets")
     sizes = reps.select("rep", "n")
-    stars = shared.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = stored(sized(stars, sizes), "pairs")
     sets = stored(full_sets(docs, reps.select("rep", "set_hash").join(
         shared.select("rep").distinct(), "rep", "left_semi")), "sets")
-    links = stored(confirm(pairs, sets).unionByName(ties), "links")
+    stars = shared.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    tested = stored(sized(stars, sizes), "pairs")
+    links = stored(confirm(tested, sets).unionByName(ties), "links")
+    for turn in range(HUBS + 1):
+        labels = stored(components(links), "labels")
+        named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
+            .withColumn("label", F.coalesce("label", "rep"))
+        apart = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("bucket")
+        named = stored(named.join(apart, "bucket", "left_semi"), "apart")
+        if turn < HUBS:
+            degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+            hubs = named.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", "rep", "label")).alias("hub")) \
+                .select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.label").alias("hub_label"))
+            more = named.join(hubs, "bucket").where("label != hub_label") \
+                .select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+            more = sized(more, sizes)
+        else:
+            more = block_pairs(named.join(sets.select("rep", "n", "marks"), "rep"))
+        more = stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
+        links = stored(confirm(more, sets).unionByName(links), "links")
+        tested = stored(tested.unionByName(more), "pairs")
     labels = stored(components(links), "labels")
-
-    # Classes that their bucket's centre isn't connected with, against all others they aren't connected with.
-    named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
-        .withColumn("label", F.coalesce("label", "rep"))
-    main = named.where("rep = centre").select("bucket", F.col("label").alias("main"))
-    named = stored(named.join(main, "bucket"), "apart")
-    apart = named.where("label != main").select("bucket", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    more = apart.join(named.where("rep != centre").select("bucket", F.col("rep").alias("y"), F.col("label").alias("ly")), "bucket") \
-        .where("lx != ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(sized(more, sizes).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    rest = stored(confirm(more, sets), "more-links")
-    labels = stored(components(links.unionByName(rest)), "labels")
-    for used in (pairs, sets, shared, named, more):
+    for used in (sets, shared, tested):
         drop(used)
 
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
