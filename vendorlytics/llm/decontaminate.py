@@ -116,7 +116,8 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     met = stored(met, "candidates")
     d, m = docs.dropDuplicates(list(KEY)).alias("d"), met.alias("m")
     exact = F.filter("met", lambda c: (c["start"] + c["n_terms"] <= F.size("w")) & (F.array_join(F.slice("w", c["start"] + 1, c["n_terms"]), " ") == c["phrase"]))
-    return m.join(d, [F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}")) for k in KEY]) \
+    # Always a shuffle of both: a broadcast would hold at some sizes only.
+    return m.hint("merge").join(d, [F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}")) for k in KEY]) \
         .select(*(f"d.{k}" for k in KEY), words(F.col("text")).alias("w"), "met") \
         .select(*KEY, exact.alias("met")).where(F.size("met") > 0).select(
             *KEY, F.transform("met", lambda c: F.struct(c["start"].alias("start"), c["n_terms"].alias("n_terms"))).alias("hits"),
