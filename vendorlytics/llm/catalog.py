@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,4 +101,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_language_model": op9_language_model,
         "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
     }

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vendorlytics.llm.crf import Chains, observed_transitions
 from vendorlytics.llm.storage import stored
@@ -211,9 +212,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
     return fit([rows[i][2] or "" for i in order], toxic, weight)
 
 
-def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """Per document row: doc_id, score, n_toxic (expected toxic tokens), spans
-    (code-point ranges of the offending words)."""
+def tag(docs: DataFrame, tagger: Tagger, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document row: the columns ``keep``, score, n_toxic (expected toxic tokens)
+    and spans (code-point ranges of the offending words)."""
+    added = "score double, n_toxic double, spans array<struct<begin: int, end: int>>"
+    schema = T.StructType([*docs.select(*keep).schema.fields, *T._parse_datatype_string(added).fields])
+    read = [*keep] if "text" in keep else [*keep, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -224,11 +228,10 @@ def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 x = tagger.evidence(tokens, p)
                 spans = [[{"begin": b, "end": e} for b, e in runs] for runs in tokens.spans(p)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(tagger.scores(x)), pa.array(np.expm1(x[:, 1])),
-                     pa.array(spans, kind)], ["doc_id", "score", "n_toxic", "spans"])
+                    [*(part.column(c) for c in keep), pa.array(tagger.scores(x)), pa.array(np.expm1(x[:, 1])),
+                     pa.array(spans, kind)], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, score double, n_toxic double, spans array<struct<begin: int, end: int>>")
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
