@@ -53,6 +53,11 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Words]:
     return part.column("ord").to_numpy(), part.column("k").to_numpy(), words
 
 
+def spread(ord_: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A hash of the row's key: copies of one text part by their ids."""
+    return mix(k.view(np.uint64) + mix(ord_.view(np.uint64)))
+
+
 def _numbers(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
 
@@ -76,7 +81,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 alone = new & np.append(new[1:], True)[:len(s)]
                 kind = np.where(alone, SINGLE, np.where(new, FIRST, KNOWN)).astype(np.int8)
                 doc, pos = doc[order], pos[order]
-                deal = np.where(kind == KNOWN, mix(k[doc].view(np.uint64)), s).view(np.int64)
+                deal = np.where(kind == KNOWN, spread(ord_[doc], k[doc]), s).view(np.int64)
                 yield _numbers(deal=deal, kind=kind, ord=ord_[doc], k=k[doc], pos=pos.astype(np.int32))
 
     return docs.select("ord", "k", "text").mapInArrow(run, f"deal long, kind byte, {KEY}, pos int")
@@ -135,7 +140,7 @@ def candidate_windows(docs: DataFrame) -> DataFrame:
                 one, two, o, q, place = one[order], two[order], o[order], q[order], place[order]
                 known = np.zeros(len(one), bool)
                 known[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-                deal = np.where(known, mix(q.view(np.uint64)).view(np.int64), one)
+                deal = np.where(known, spread(o, q).view(np.int64), one)
                 yield _numbers(deal=deal, w2=two, known=known, ord=o, k=q, start=place)
 
     return docs.mapInArrow(run, f"deal long, w2 long, known boolean, {KEY}, start int")
