@@ -91,7 +91,7 @@ def test_scorecard_scores_and_nulls(spark):
 
 def test_lifecycle_ladder_order(spark):
     cols = ["SaleOrderStatus", "SaleOrderItemStatus", "ShippingPackageStatusCode", "ReversePickupCode",
-            "OrderStatusModdd"]
+            "AllocatedStatus"]
     data = [("CANCELLED", "DELIVERED", "DELIVERED", None, 1, "Cancel"),
             ("COMPLETE", "CANCELLED", "DELIVERED", None, 1, "Cancel"),
             ("PROCESSING", "DELIVERED", "SHIPPED", None, 0, "Processing"),

@@ -1,8 +1,11 @@
 import datetime as dt
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from vendorlytics import params as P
+from vendorlytics.functions import expr
 from vendorlytics.functions.expr import band, bucket, elapsed_months, ilike, month_start, safe_div, shift_minutes
 
 
@@ -49,3 +52,17 @@ def test_local_month_shift_crosses_month(spark):
 def test_month_start_null_stays_null(spark):
     df = spark.createDataFrame([("2023-06",), (None,)], "m string")
     assert [r[0] for r in df.select(month_start("m")).collect()] == [dt.date(2023, 6, 1), None]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_money_sums_have_no_ceiling_below_the_type(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        rows = [(1, Decimal(9 * 10**11))] * 20 + [(2, Decimal(9 * 10**12)), (2, Decimal(1))]
+        df = spark.createDataFrame(rows, "g int, v decimal(24,6)")
+        got = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(
+            expr.exact_sum("v", df.schema["v"].dataType).alias("a"), F.sum("v").alias("b")).collect()}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert got[1] == (Decimal(18 * 10**12),) * 2 and got[2] == (Decimal(9 * 10**12 + 1),) * 2

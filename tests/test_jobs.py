@@ -6,6 +6,8 @@ import tempfile
 
 from vendorlytics.catalog_params import TEST_PNL, TEST_ROS, TEST_SCORECARD, TEST_SOURCING
 from vendorlytics.plans import jobs
+from vendorlytics.plans.marketplace import build_marketplace
+from vendorlytics.session import checkpoint_dir
 from vendorlytics.sources import readers, schemas, sinks
 from vendorlytics.sources.proxies import sales_tables, scorecard_tables
 from vendorlytics.sources.testdata import DriverTables
@@ -36,3 +38,39 @@ def test_scorecard_job_writes_tsv(spark):
     assert len(files) == 1
     lines = open(os.path.join(out, files[0])).read().splitlines()
     assert lines[0].split("\t")[:3] == ["order_mnt", "display_name", "avg_stock"] and len(lines) > 1
+
+
+def _bag(df):
+    cols = sorted(df.columns)
+    return sorted(tuple(str(r[c]) for c in cols) for r in df.collect())
+
+
+def test_outputs_equal_the_datasets_and_a_rerun_over_fewer_months_replaces_them(spark):
+    work = tempfile.mkdtemp(prefix="vl-job-")
+    tables = sales_tables(DriverTables(spark, SF_SMALL))
+    _stage(spark, tables, schemas.SPREADSHEET_TABLES, f"{work}/in")
+    args = dict(ros=TEST_ROS, pnl_params=TEST_PNL, src=TEST_SOURCING)
+    jobs.run_marketplace(spark, f"{work}/in", f"{work}/out", **args)
+    early = spark.read.parquet(f"{work}/in/sales_items").where("OrderDate < '1998-06-01'")
+    for name in schemas.SPREADSHEET_TABLES:
+        df = early if name == "sales_items" else spark.read.parquet(f"{work}/in/{name}")
+        sinks.write_table(df, f"{work}/less/{name}")
+    again = jobs.run_marketplace(spark, f"{work}/less", f"{work}/out", **args)
+    fresh = jobs.run_marketplace(spark, f"{work}/less", f"{work}/fresh", **args)
+    d = build_marketplace(readers.read_tables(spark, f"{work}/less", schemas.SPREADSHEET_TABLES),
+                          TEST_ROS, TEST_PNL, TEST_SOURCING)
+    for name in jobs.MARKETPLACE_OUTPUTS:
+        assert _bag(spark.read.parquet(again[name])) == _bag(spark.read.parquet(fresh[name])), name
+    for name, dataset in (("uc_mod", "sales_mart"), ("cat_1", "active_listing"), ("ship_chrg", "shipping_ledger"),
+                          ("PnL", "pnl_month_facility"), ("sourcing", "sourcing_report")):
+        written = spark.read.parquet(again[name])
+        assert sorted(written.columns) == sorted(d[dataset].columns)
+        assert _bag(written) == _bag(d[dataset]), name
+
+
+def test_scorecard_job_leaves_no_extract_behind(spark):
+    work = tempfile.mkdtemp(prefix="vl-job-")
+    _stage(spark, scorecard_tables(DriverTables(spark, SF_SMALL)), schemas.DATABASE_TABLES, f"{work}/in")
+    jobs.run_scorecard(spark, f"{work}/in", f"{work}/card", p=TEST_SCORECARD)
+    left = os.listdir(checkpoint_dir(spark).removeprefix("file:"))
+    assert not [x for x in left if x.startswith("vendorlytics-scorecard-")]

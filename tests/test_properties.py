@@ -24,7 +24,7 @@ def test_allocation_count_identity(spark):
     per_group = (d["allocated"].groupBy("DisplayOrderCode", "SellerSKU").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("OrderStatusMod") == -1, 1).otherwise(0)).alias("m"),
-        F.sum(F.when(F.col("OrderStatusModdd") == -1, 1).otherwise(0)).alias("after"))
+        F.sum(F.when(F.col("AllocatedStatus") == -1, 1).otherwise(0)).alias("after"))
         .join(claims, ["DisplayOrderCode", "SellerSKU"], "left"))
     q = F.coalesce(F.col("TOT_QNT"), F.lit(0))
     bad = per_group.where(F.col("after") != F.greatest(F.least(q, F.col("n")), F.col("m")))

@@ -52,3 +52,67 @@ def test_partitioned_table_round_trip(spark):
     back = spark.read.parquet(out).where(F.col("Month") == "2023-06")
     assert [r["v"] for r in back.collect()] == [2]
     assert "PartitionFilters: [isnotnull(Month" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_proxy_ids_are_unique_and_skus_grow_with_parts(spark):
+    from pyspark.sql import functions as F
+    from vendorlytics.sources.proxies import sales_tables, scorecard_tables
+    from vendorlytics.sources.testdata import DriverTables
+
+    seen = {}
+    for sf in ("0.001", "0.01"):
+        t = DriverTables(spark, f"/root/testdata/sf{sf}")
+        s, m = scorecard_tables(t), sales_tables(t)
+        lines = t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().count()
+        assert s["order_items"].select("id").distinct().count() == lines
+        packages = s["shipping_packages"].agg(F.count("id"), F.countDistinct("id")).first()
+        assert packages[0] == packages[1]
+        seen[sf] = m["sales_items"].select("SellerSKU").distinct().count()
+        assert m["listing_master"].count() == m["item_master_2"].count() == m["metafields"].count() == t["part"].count()
+        assert m["pincodes"].count() == t["nation"].count()
+    assert seen["0.01"] > 5 * seen["0.001"]
+
+
+def test_jdbc_reader_options(monkeypatch):
+    from vendorlytics.sources import readers, schemas
+
+    class Reader:
+        def __init__(self):
+            self.asked = {}
+
+        def format(self, name):
+            self.asked["format"] = name
+            return self
+
+        def options(self, **more):
+            self.asked.update(more)
+            return self
+
+        def option(self, key, value):
+            self.asked[key] = value
+            return self
+
+        def load(self):
+            return self.asked
+
+    class Session:
+        read = Reader()
+
+    monkeypatch.setattr(readers, "conform", lambda df, schema: df)
+    asked = readers.read_jdbc_table(Session(), "orders", schemas.ORDERS, {"url": "jdbc:x"}, "id", 0, 100, 4)
+    assert asked == {"format": "jdbc", "url": "jdbc:x", "dbtable": "orders", "partitionColumn": "id",
+                     "lowerBound": "0", "upperBound": "100", "numPartitions": "4"}
+    Session.read = Reader()
+    assert readers.read_jdbc_query(Session(), "select 1", {"url": "jdbc:x"}) == {
+        "format": "jdbc", "url": "jdbc:x", "query": "select 1"}
+
+
+def test_unreadable_sheet_timestamp_fails_and_blank_is_null(spark):
+    import pytest
+    from vendorlytics.sources.readers import sheet_timestamp
+
+    ok = spark.createDataFrame([("05/03/2023 10:00:00",), ("2023-03-05 10:00:00",), ("",), (None,)], "t string")
+    got = [r[0] for r in ok.select(sheet_timestamp("t")).collect()]
+    assert got[0] == got[1] and got[2:] == [None, None]
+    with pytest.raises(Exception, match="unreadable timestamp in t: soon"):
+        spark.createDataFrame([("soon",)], "t string").select(sheet_timestamp("t")).collect()

@@ -12,7 +12,6 @@ Layout
                conditional distinct counts, union by position)
 ``plans``      the business datasets (sales mart, rate of sale, listings,
                shipping ledger, P&L, sourcing, vendor scorecard)
-``streaming``  intentionally empty: the modelled workload is batch only
 """
 
 from vendorlytics.params import PnlParams, RateOfSaleParams, ScorecardParams, SourcingParams

@@ -43,7 +43,7 @@ def for_check(df: DataFrame) -> DataFrame:
 
 
 def _scorecard(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return scorecard.build_scorecard(scorecard_tables(DriverTables(spark, sf_dir)), TEST_SCORECARD, persist=True)
+    return scorecard.build_scorecard(scorecard_tables(DriverTables(spark, sf_dir)), TEST_SCORECARD)
 
 
 def _pick(builder: Callable[[SparkSession, str], dict[str, DataFrame]], name: str):
@@ -58,7 +58,7 @@ def _marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     d = build_marketplace(t, TEST_ROS, TEST_PNL, TEST_SOURCING)
     projected = ("SaleOrderItemCode", "DisplayOrderCode", "SellerSKU", "UnitsSold", "ListingPrice")
     d.define("return_allocation", lambda: d["allocated"].select(
-        *projected, "OrderStatusMod", "OrderStatusModdd", "ReturnReasonnn"))
+        *projected, "OrderStatusMod", "AllocatedStatus", "ClaimReason"))
     d.define("lifecycle_status", lambda: d["allocated"].select(*projected, lifecycle_status().alias("OrderStatus")))
     d.define("sales_ingest", lambda: d["sales"].select(
         "SaleOrderItemCode", "OrderDate", "DispatchDate", "DeliveryTime", "DaysToDispatch", "DaysToDeliver",

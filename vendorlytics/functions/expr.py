@@ -4,7 +4,6 @@ whole-stage codegen; none is a Python UDF."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,10 +30,6 @@ def month_text(d: str | Column) -> Column:
     return F.date_format(col(d), "yyyy-MM")
 
 
-def date_text(d: str | Column) -> Column:
-    return F.date_format(col(d), "yyyy-MM-dd")
-
-
 def month_start(month: str | Column) -> Column:
     """``yyyy-MM`` text -> first day of that month (NULL stays NULL)."""
     return F.to_date(F.concat(col(month), F.lit("-01")))
@@ -104,15 +99,9 @@ def sum_money(df, name: str) -> Column:
 
 
 def exact_sum(c: str | Column, dtype) -> Column:
-    """``sum`` of a money column (decimal, scale <= 6), accumulated as exact
-    64-bit unscaled integers instead of Spark's ``decimal(p+10, s)`` buffer (a
-    Java BigDecimal per update once p + 10 > 18; about twice as slow).
-
-    Each value is first cast to ``decimal(18, s)`` (under 10^12 units); a
-    value or a total that does not fit raises (ANSI mode) instead of wrapping.
-    Other types fall back to ``sum``."""
-    if not isinstance(dtype, T.DecimalType) or dtype.scale > 6:
+    """``sum`` of a money column.  Decimals stay decimals from input to total
+    (ten more digits than the input, 38 at most), so no value or total that the
+    input type can hold is lost, with ANSI mode on or off."""
+    if not isinstance(dtype, T.DecimalType):
         return F.sum(col(c))
-    s = dtype.scale
-    unscaled = (col(c).cast(f"decimal(18,{s})") * F.lit(10 ** s)).cast("long")
-    return (F.sum(unscaled).cast("decimal(38,0)") * F.lit(Decimal(1).scaleb(-s))).cast(f"decimal(38,{s})")
+    return F.sum(col(c)).cast(f"decimal(38,{dtype.scale})")

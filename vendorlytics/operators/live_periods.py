@@ -18,12 +18,15 @@ def expand_months(items: DataFrame, start_month_col: str, months: DataFrame, mon
                   cutoff_month: str, out_col: str) -> DataFrame:
     """``items`` x months in ``months[month_col]`` with
     ``items[start_month_col] <= month <= cutoff_month`` (all ``yyyy-MM`` text).
-    Items with a NULL or later start month produce no rows."""
+    Items with a NULL or later start month produce no rows.  A start that is no
+    month (blank, say) is compared as text, as the original does."""
     start = F.try_to_date(F.concat(F.col(start_month_col), F.lit("-01")), "yyyy-MM-dd")
     end = F.to_date(F.lit(cutoff_month + "-01"))
-    live = (items.where(F.col(start_month_col).isNotNull() & (F.col(start_month_col) <= F.lit(cutoff_month)))
+    due = items.where(F.col(start_month_col).isNotNull() & (F.col(start_month_col) <= F.lit(cutoff_month)))
+    live = (due.where(start.isNotNull())
             .withColumn("_month", F.explode(F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))))
             .withColumn(out_col, F.date_format("_month", "yyyy-MM")).drop("_month"))
     dim = (months.select(F.col(month_col).alias(out_col))
            .where(F.col(out_col).isNotNull() & (F.col(out_col) <= F.lit(cutoff_month))).distinct())
-    return live.join(F.broadcast(dim), out_col, "inner")
+    text = due.where(start.isNull()).join(F.broadcast(dim), F.col(start_month_col) <= F.col(out_col), "inner")
+    return live.join(F.broadcast(dim), out_col, "inner").unionByName(text)

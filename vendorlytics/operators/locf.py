@@ -7,7 +7,7 @@ in one task.  Two-level form instead:
    (one window partition per block, bounded size);
 2. per block keep its last non-NULL value (one row per block);
 3. carry the last value of all earlier blocks with a window over that block
-   summary (rows = table rows / block size, broadcast);
+   summary (rows = table rows / block size);
 4. a value still NULL after step 1 takes the carried value.
 
 Leading NULLs (nothing before them) stay NULL.
@@ -31,6 +31,6 @@ def locf(df: DataFrame, order_col: str, value_col: str, block_size: int = 1_000_
                     .alias("_block_last")))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select("_block", F.last("_block_last", ignorenulls=True).over(before).alias("_carried"))
-    out = staged.join(F.broadcast(carry), "_block", "left")
+    out = staged.join(carry, "_block", "left")
     return (out.withColumn(value_col, F.coalesce("_filled", "_carried"))
             .drop("_block", "_filled", "_carried"))

@@ -36,7 +36,7 @@ def run_marketplace(spark: SparkSession, input_base: str, output_base: str, fmt:
     paths = {name: f"{out}/{name}" for name in MARKETPLACE_OUTPUTS}
 
     sinks.write_table(d["sales_mart"], paths["uc_mod"], partition_by=("Month",))
-    mart = spark.read.parquet(paths["uc_mod"])
+    mart = spark.read.parquet(paths["uc_mod"]).select(*d["sales_mart"].columns)  # not the partition column last
 
     cal = t["calendar"]
     catalogue = d["catalogue"]
@@ -67,8 +67,9 @@ def run_scorecard(spark: SparkSession, input_base: str, output_path: str, fmt: s
                   p: P.ScorecardParams = P.ScorecardParams(), work_path: str | None = None) -> str:
     """The extract (nine-table join) feeds four datasets: it is written once
     (month-partitioned) to ``work_path``, by default a fresh folder under the
-    cluster's shared ``spark.checkpoint.dir``, and read back, so it is computed
-    once and later stages restart from it if an executor is lost."""
+    cluster's shared ``spark.checkpoint.dir`` that is removed at the end, and read
+    back, so it is computed once and later stages restart from it if an executor
+    is lost."""
     t = readers.read_tables(spark, input_base, schemas.DATABASE_TABLES, fmt)
     extract_path = work_path or f"{checkpoint_dir(spark)}/vendorlytics-scorecard-{uuid.uuid4().hex}/extract"
     sinks.write_table(scorecard.order_extract(
@@ -80,10 +81,14 @@ def run_scorecard(spark: SparkSession, input_base: str, output_path: str, fmt: s
     quality = scorecard.vendor_quality(extract)
     ratings = scorecard.vendor_ratings(t["product_variants"], t["products"], t["suppliers"], t["product_reviews"])
     assortment = scorecard.vendor_assortment(t["product_variants"], t["products"], t["suppliers"])
-    spine = scorecard.vendor_spine(dispatch, assortment, ratings, quality)
-    card = scorecard.vendor_scorecard(spine, quality, assortment, dispatch, ratings, p)
+    card = scorecard.vendor_scorecard(quality, assortment, dispatch, ratings, p)
+    if p.month_from == p.month_to:  # the original's columns; several months need theirs to tell rows apart
+        card = card.drop("order_mnt")
     # One row per (month, vendor): bounded by the vendor count, one file.
     sinks.write_tsv(card, output_path, single_file=True)
+    if work_path is None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(extract_path).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return output_path
 
 

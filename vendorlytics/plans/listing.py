@@ -41,7 +41,7 @@ def rate_of_sale(mart: DataFrame, inventory: DataFrame, p: P.RateOfSaleParams =
 
 def category_revenue(mart: DataFrame, calendar: DataFrame) -> DataFrame:
     """Completed revenue per (channel product, category, order month)."""
-    cal = F.broadcast(calendar.select(F.col("dt").alias("OrderDate"), F.col("mnt_no").alias("Order_Month")))
+    cal = calendar.select(F.col("dt").alias("OrderDate"), F.col("mnt_no").alias("Order_Month"))
     return (mart.where(F.col("OrderStatus") == P.STATUS_COMPLETE)
             .join(cal, "OrderDate", "left")
             .groupBy(F.col("ChannelProductID").alias("ChannelProductId"), "Category", "Order_Month")
@@ -60,7 +60,7 @@ def active_listing(listing: DataFrame, item_master_2: DataFrame, calendar: DataF
     month, stock flag and lifetime completed revenue (0 when none).  Duplicate
     catalogue SKUs fan out, as in the original."""
     im2 = item_master_2.select(F.col("Product Code").alias("SKU Code"), "Category Name")
-    cal = F.broadcast(calendar.select(F.col("dt").alias("Created"), F.col("mnt_no").alias("Create_Month")))
+    cal = calendar.select(F.col("dt").alias("Created"), F.col("mnt_no").alias("Create_Month"))
     rev = uc_cat.groupBy(F.col("ChannelProductId").alias("Channel Product Id")).agg(F.sum("Revenue").alias("_rev"))
     cat = catalogue.select(F.col("Variant SKU").alias("Seller SKU on Channel"),
                            F.col("Vendor").alias("Brand"), F.col("Type").alias("SubCategory"))
@@ -78,7 +78,7 @@ def launch_month_revenue(uc_cat: DataFrame, listing: DataFrame, calendar: DataFr
     and launch month of the active listing (inner join to listings)."""
     lst = _active(listing).select(F.col("Channel Product Id").alias("ChannelProductId"), "Created",
                                   "SKU Code", "Seller SKU on Channel")
-    cal = F.broadcast(calendar.select(F.col("dt").alias("Created"), F.col("mnt_no").alias("Launch_Month")))
+    cal = calendar.select(F.col("dt").alias("Created"), F.col("mnt_no").alias("Launch_Month"))
     im2 = item_master_2.select(F.col("Product Code").alias("SKU Code")).withColumn("_im2", F.lit(1))
     cat = catalogue.select(F.col("Variant SKU").alias("Seller SKU on Channel"),
                            F.col("Type").alias("SubCategory"), F.col("Vendor").alias("Brand"))

@@ -43,11 +43,10 @@ def order_extract(orders: DataFrame, order_items: DataFrame, product_variants: D
     """Order-item extract at (month, day, dispatch day, order, vendor,
     tracking no., mistake flag, reason, status) grain with summed LP and CP.
 
-    Dimension chains are joined among themselves first (variant -> product ->
-    supplier; return item -> return; package item -> package), so the fact is
-    shuffled once per chain instead of once per table; the return and package
-    chains share the order-item key, so they join the fact in one co-partitioned
-    step.  Left-join soft-delete predicates are applied to the right side before
+    The month's orders meet their items first; what follows is as small as the
+    period: the item's links to returns and packages, then those tables by their
+    own ids.  The vendor chain (variant -> product -> supplier) is joined among
+    itself.  Left-join soft-delete predicates are applied to the right side before
     the join (same result).
     """
     off = p.tz_offset_minutes
@@ -73,20 +72,19 @@ def order_extract(orders: DataFrame, order_items: DataFrame, product_variants: D
 
     r = returns.select(F.col("id").alias("_return_id"), "manufacturer_mistake",
                        F.col("reason").alias("return_reason"), "shipment_tracking_status")
-    item_returns = (return_items.select(F.col("order_item_id").alias("_item_id"),
-                                        F.col("return_id").alias("_return_id"))
-                    .join(r, "_return_id", "left").drop("_return_id")
-                    .withColumn("_has_return", F.lit(True)))
+    item_returns = return_items.select(F.col("order_item_id").alias("_item_id"),
+                                       F.col("return_id").alias("_return_id"), F.lit(True).alias("_has_return"))
     sp = shipping_packages.select(F.col("id").alias("_package_id"), "dispatched_at",
                                   "tracking_number", "courier_status")
-    item_packages = (shipping_order_items.select(F.col("order_item_id").alias("_item_id"),
-                                                 F.col("shipping_package_id").alias("_package_id"))
-                     .join(sp, "_package_id", "left").drop("_package_id"))
+    item_packages = shipping_order_items.select(F.col("order_item_id").alias("_item_id"),
+                                                F.col("shipping_package_id").alias("_package_id"))
 
     fact = (oi.join(o, "_order_id", "inner")
             .join(variant_vendor, "_variant_id", "left")
             .join(item_returns, "_item_id", "left")
-            .join(item_packages, "_item_id", "left"))
+            .join(item_packages, "_item_id", "left")
+            .join(r, "_return_id", "left")
+            .join(sp, "_package_id", "left"))
 
     status = first_match([
         (F.col("status") == P.DB_STATUS_CANCELLED, P.DB_STATUS_CANCELLED),
@@ -203,15 +201,14 @@ def vendor_spine(dispatch: DataFrame, assortment: DataFrame, ratings: DataFrame,
     return union_distinct([d.select("display_name") for d in (dispatch, assortment, ratings, quality)])
 
 
-def vendor_scorecard(spine: DataFrame, quality: DataFrame, assortment: DataFrame,
-                     dispatch: DataFrame, ratings: DataFrame,
+def vendor_scorecard(quality: DataFrame, assortment: DataFrame, dispatch: DataFrame, ratings: DataFrame,
                      p: P.ScorecardParams = P.ScorecardParams()) -> DataFrame:
     """Per (month, vendor) with orders: stock, orders, dispatch days,
     out-of-stock %, return %, ratings, LP, SKUs, take rate and seven banded
-    scores (unmatched or NULL -> 0).  NULL vendor names never match."""
-    q = quality.where(F.col("total_orders") > 0)
-    base = (spine.join(q, "display_name", "inner")
-            .join(assortment, "display_name", "left")
+    scores (unmatched or NULL -> 0).  NULL vendor names never match.  Vendors with
+    orders are those of ``quality``, so the spine of all names isn't needed."""
+    q = quality.where((F.col("total_orders") > 0) & F.col("display_name").isNotNull())
+    base = (q.join(assortment, "display_name", "left")
             .join(dispatch, MONTH_KEYS, "left")
             .join(ratings, "display_name", "left"))
     oos = 1 - safe_div("is_skus", "tot_skus")
@@ -250,7 +247,6 @@ def build_scorecard(t: dict[str, DataFrame], p: P.ScorecardParams = P.ScorecardP
     d.define("vendor_assortment", lambda: vendor_assortment(t["product_variants"], t["products"], t["suppliers"]))
     d.define("vendor_spine", lambda: vendor_spine(d["vendor_dispatch"], d["vendor_assortment"],
                                                   d["vendor_ratings"], d["vendor_quality"]))
-    d.define("vendor_scorecard", lambda: vendor_scorecard(d["vendor_spine"], d["vendor_quality"],
-                                                          d["vendor_assortment"], d["vendor_dispatch"],
-                                                          d["vendor_ratings"], p))
+    d.define("vendor_scorecard", lambda: vendor_scorecard(d["vendor_quality"], d["vendor_assortment"],
+                                                          d["vendor_dispatch"], d["vendor_ratings"], p))
     return d

@@ -44,7 +44,12 @@ def _order_created(o: DataFrame) -> DataFrame:
 
 
 def _item_id() -> Column:
-    return F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100
+    """The whole tuple: two lines of an order may share any part of it."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _package_id(supplier: Column | str = "l_suppkey") -> Column:
+    return F.concat_ws("-", F.col("l_orderkey"), F.col(supplier) if isinstance(supplier, str) else supplier)
 
 
 def scorecard_tables(t: DriverTables) -> dict[str, DataFrame]:
@@ -78,8 +83,8 @@ def scorecard_tables(t: DriverTables) -> dict[str, DataFrame]:
 
     prod = PT.groupBy(_div("p_partkey", 2).alias("id")).agg(F.min("p_size").alias("_size"))
     # Supplier of the product's first line (by order, line number, supplier).
-    first_line = F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_suppkey")
-    vendor = L.groupBy(_div("l_partkey", 2).alias("id")).agg((F.min(first_line) % 10000).alias("supplier_id"))
+    first_line = F.min(F.struct("l_orderkey", "l_linenumber", "l_suppkey"))
+    vendor = L.groupBy(_div("l_partkey", 2).alias("id")).agg(first_line["l_suppkey"].alias("supplier_id"))
     products = prod.join(vendor, "id", "left").select(
         "id", "supplier_id",
         F.when(F.col("_size") % 5 != 0, _ts("2020-01-01 00:00:00")).alias("published_at"),
@@ -94,7 +99,7 @@ def scorecard_tables(t: DriverTables) -> dict[str, DataFrame]:
                        | ((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 45)))
     second = L.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49))
     return_items = returned.select(_item_id().alias("order_item_id"), _item_id().alias("return_id")).unionAll(
-        second.select(_item_id().alias("order_item_id"), (-_item_id()).alias("return_id")))
+        second.select(_item_id().alias("order_item_id"), F.concat(_item_id(), F.lit("-2")).alias("return_id")))
     returns = returned.select(
         _item_id().alias("id"),
         F.when(F.col("l_tax") > 0.05, True).when(F.col("l_tax") < 0.02, None)
@@ -104,22 +109,21 @@ def scorecard_tables(t: DriverTables) -> dict[str, DataFrame]:
          .otherwise("Changed my mind").alias("reason"),
         F.when(F.col("l_returnflag") == "A", "RETURNED_TO_ORIGIN")
          .otherwise("RETURN_COMPLETED").alias("shipment_tracking_status")).unionAll(
-        second.select((-_item_id()).alias("id"), F.lit(False).alias("manufacturer_mistake"),
+        second.select(F.concat(_item_id(), F.lit("-2")).alias("id"), F.lit(False).alias("manufacturer_mistake"),
                       F.lit("Size issue").alias("reason"),
                       F.lit("RETURN_COMPLETED").alias("shipment_tracking_status")))
 
     shipped = L.where(~((F.col("l_linestatus") == "O") & (F.col("l_linenumber") >= 6)))
-    package_id = F.col("l_orderkey") * 100 + F.col("l_suppkey") % 100
     shipping_order_items = shipped.select(_item_id().alias("order_item_id"),
-                                          package_id.alias("shipping_package_id"))
-    packs = (shipped.select("l_orderkey", (F.col("l_suppkey") % 100).alias("_sk")).distinct()
+                                          _package_id().alias("shipping_package_id"))
+    packs = (shipped.select("l_orderkey", F.col("l_suppkey").alias("_sk")).distinct()
              .join(_order_created(O).select(F.col("o_orderkey").alias("l_orderkey"), "_created"), "l_orderkey"))
     sk = F.col("_sk")
     shipping_packages = packs.select(
-        (F.col("l_orderkey") * 100 + sk).alias("id"),
+        _package_id(sk).alias("id"),
         F.when(sk % 9 != 8, F.timestamp_add("MINUTE", (sk % 4) * 1440 + (sk % 7) * 60, F.col("_created")))
          .alias("dispatched_at"),
-        F.concat(F.lit("AWB"), (F.col("l_orderkey") * 100 + sk).cast("string")).alias("tracking_number"),
+        F.concat(F.lit("AWB"), _package_id(sk)).alias("tracking_number"),
         F.when(sk % 5 == 0, "delivered").when(sk % 5 == 1, "DL-Shipment Delivered")
          .when(sk % 5 == 2, "Dispatched").when(sk % 5 == 3, "in_transit")
          .otherwise("PICKUP_PENDING").alias("courier_status"))
@@ -177,7 +181,9 @@ def _case(expr: Column, pairs) -> Column:
 
 
 def _seller_sku(partkey: str) -> Column:
-    return _code("VS", F.col(partkey) % 40)
+    """One SKU for each fifty parts: as many more as there are parts, and still
+    repeated within orders."""
+    return _code("VS", _div(partkey, 50))
 
 
 def sales_tables(t: DriverTables) -> Datasets:
@@ -202,9 +208,12 @@ def sales_tables(t: DriverTables) -> Datasets:
                    _code("RP", "l_orderkey")).alias("ReversePickupCode"),
             (F.col("l_linenumber") % 2).cast("int").alias("COD"),
             _case(first_word, _UC_CATEGORY).alias("Category"),
-            (F.col("c_nationkey") + 110000).cast("string").alias("ShippingAddressPincode"),
+            # Two nations' customers, and the parts below, have keys that no dimension row has.
+            (F.col("c_nationkey") + F.when(F.col("c_nationkey") < 22, 110000).otherwise(990000)).cast("string")
+            .alias("ShippingAddressPincode"),
             _code("SKU", "l_partkey").alias("ItemSKUCode"),
-            _code("CP", "l_partkey").alias("ChannelProductId"),
+            F.when(F.col("l_partkey") % 17 != 3, _code("CP", "l_partkey")).otherwise(_code("CPX", "l_partkey"))
+            .alias("ChannelProductId"),
             (_money("p_retailprice") * F.col("l_quantity").cast("long")).alias("MRP"),
             (lp - disc).alias("SellingPrice"),
             (lp * F.lit(Decimal("0.65"))).alias("CostPrice"),
@@ -235,7 +244,11 @@ def sales_tables(t: DriverTables) -> Datasets:
             F.when(F.col("l_linenumber") % 3 != 0, tax * 50).alias("SGST"),
             F.when(F.col("l_quantity") < 10, F.lit(Decimal("40.00"))).alias("ShippingCharges"),
             F.when(F.col("l_linenumber") % 2 == 1, F.lit(Decimal("25.00"))).alias("CODServiceCharges"),
-            lp.alias("ListingPrice"))
+            lp.alias("ListingPrice"),
+            F.when(F.col("l_linenumber") == 7, "Customer changed mind").alias("CancellationReason"),
+            F.when(shipped, F.col("o_orderpriority")).alias("ShippingCourier"),
+            F.when(shipped, F.col("o_orderdate")).alias("ShippingPackageCreationDate"),
+            F.when(F.col("l_returnflag") == "R", "Size issue").alias("ReturnReason"))
 
     def returns() -> DataFrame:
         return L.where(F.col("l_tax") > 0.05).select(
@@ -253,10 +266,11 @@ def sales_tables(t: DriverTables) -> Datasets:
         return PT.join(launch(), "p_partkey", "left")
 
     def listing_master() -> DataFrame:
-        return parts().where(F.col("p_partkey") % 17 != 3).select(
+        return parts().select(
             _code("CP", "p_partkey").alias("Channel Product Id"),
             F.col("p_name").alias("Product Name on Channel"),
-            _code("SKU", "p_partkey").alias("SKU Code"),
+            F.when(F.col("p_partkey") % 13 != 0, _code("SKU", "p_partkey")).otherwise(_code("SKUX", "p_partkey"))
+            .alias("SKU Code"),
             _code("VS", "p_partkey").alias("Seller SKU on Channel"),
             F.col("_launch").alias("Created"),
             (F.col("p_size") - 10).cast("decimal(12,2)").alias("Last Inventory Update"),
@@ -264,7 +278,7 @@ def sales_tables(t: DriverTables) -> Datasets:
              .otherwise("ACTIVE").alias("ListingStatus"))
 
     def item_master_2() -> DataFrame:
-        return PT.where(F.col("p_partkey") % 13 != 0).select(
+        return PT.select(
             _code("SKU", "p_partkey").alias("Product Code"), F.col("p_type").alias("Category Name"))
 
     def days() -> DataFrame:
@@ -278,8 +292,7 @@ def sales_tables(t: DriverTables) -> Datasets:
             F.date_format("dt", "yyyy-MM").alias("mnt_no"))
 
     def pincodes() -> DataFrame:
-        return (N.where(F.col("n_nationkey") < 22)
-                    .join(R, N.n_regionkey == R.r_regionkey)
+        return (N.join(R, N.n_regionkey == R.r_regionkey)
                     .select((F.col("n_nationkey") + 110000).cast("string").alias("Pincode"),
                             F.col("r_name").alias("State"), F.col("n_name").alias("District")))
 
@@ -313,10 +326,13 @@ def sales_tables(t: DriverTables) -> Datasets:
                                                           F.lit(5).cast("long").alias("Inventory")))
 
     def metafields() -> DataFrame:
-        return parts().where(F.col("p_partkey") % 9 != 4).select(
+        return parts().select(
             _code("M", handle).alias("ID"),
-            _code("VS", "p_partkey").alias("Variant SKU"),
-            F.date_format("_launch", "yyyy-MM-dd HH:mm:ss").alias("Created At"),
+            F.when(F.col("p_partkey") % 9 != 4, _code("VS", "p_partkey")).otherwise(_code("VSX", "p_partkey"))
+            .alias("Variant SKU"),
+            # One part in 29 has a blank start: it is live in every month.
+            F.when(F.col("p_partkey") % 29 == 6, "").otherwise(F.date_format("_launch", "yyyy-MM-dd HH:mm:ss"))
+            .alias("Created At"),
             F.when(F.col("p_partkey") % 5 == 0, '["Cotton"]').when(F.col("p_partkey") % 5 == 1, '["Cotton","Linen"]')
              .when(F.col("p_partkey") % 5 == 2, '["Velvet"]').when(F.col("p_partkey") % 5 == 4, '["Jute","Cotton"]')
              .alias("Metafield: my_fields.material [list.single_line_text_field]"),
@@ -361,7 +377,8 @@ def _carriers(L: DataFrame, O: DataFrame):
     order_no = F.concat(_code("O", "l_orderkey"), F.when(F.col("_rp"), F.lit("-RP1")).otherwise(F.lit("")))
     order_no_b = F.concat(_code("O", "l_orderkey"), F.when(F.col("_rp"), F.lit("-rp1")).otherwise(F.lit("")))
     a = base.where(F.col("l_suppkey") % 3 == 0).select(
-        F.col("_awb").alias("waybill_num"), order_no.alias("order_id"), F.col("_pickup").alias("pickup_date"),
+        F.when(F.col("l_orderkey") % 37 == 1, F.concat(F.lit("0W"), F.col("_awb").cast("string")))
+        .otherwise(F.col("_awb").cast("string")).alias("waybill_num"), order_no.alias("order_id"), F.col("_pickup").alias("pickup_date"),
         F.col("_cod").alias("charge_cod"), F.col("_freight").alias("total_amount"))
     # Carrier B also lists some of carrier A's parcels, so the union must drop them.
     b = base.where((F.col("l_suppkey") % 3 == 1)

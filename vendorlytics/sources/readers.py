@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return conform(df, schema)
 
 
+def sheet_timestamp(name: str) -> Column:
+    """Timestamp of a text column; text that is neither blank nor a timestamp fails
+    the job with the column's name and the text."""
+    text = F.col(name)
+    unreadable = F.raise_error(F.concat(F.lit(f"unreadable timestamp in {name}: "), text)).cast("timestamp")
+    return F.when(F.trim(text) != "", F.coalesce(
+        F.try_to_timestamp(text, F.lit(SHEET_TIMESTAMP_FORMAT)), F.try_to_timestamp(text), unreadable))
+
+
 def read_sales_sheet(spark: SparkSession, path: str, fmt: str = "csv",
                      options: Mapping[str, str] | None = None) -> DataFrame:
     """The raw sales sheet with its original headers, cut to the 35 used
@@ -52,11 +61,10 @@ def read_sales_sheet(spark: SparkSession, path: str, fmt: str = "csv",
     reader = spark.read.options(**dict(options or {}))
     raw = reader.option("header", "true").csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     renamed = raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in schemas.SALES_SHEET_COLUMNS])
-    # Text timestamps: the export's day-first pattern, else ISO.
+    # Text timestamps: the export's day-first pattern, else ISO; blank is NULL, anything else is an error.
     text_ts = {f.name for f in schemas.SALES_ITEMS.fields if isinstance(f.dataType, T.TimestampType)
                and isinstance(renamed.schema[f.name].dataType, T.StringType)}
-    renamed = renamed.withColumns({c: F.coalesce(F.try_to_timestamp(F.col(c), F.lit(SHEET_TIMESTAMP_FORMAT)),
-                                                 F.try_to_timestamp(F.col(c))) for c in text_ts})
+    renamed = renamed.withColumns({c: sheet_timestamp(c) for c in sorted(text_ts)})
     return conform(renamed, schemas.SALES_ITEMS)
 
 

@@ -1,16 +1,14 @@
 """Declared schemas of every input table (no type inference).
 
 Identifiers (order numbers, SKUs, AWBs, phones, pincodes) are text, money is
-``decimal(18,6)`` (every derived amount fits without rounding, and precision
-<= 18 keeps Spark's compact 64-bit decimal representation; sums widen to
-``decimal(28,6)``), quantities are ``bigint``/``int``, dates are ``date``.
+``decimal(24,6)`` (18 digits before the point; sums have ten more), quantities are ``bigint``/``int``, dates are ``date``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 6)
+MONEY = T.DecimalType(24, 6)
 S, L, I, D, TS, B = T.StringType(), T.LongType(), T.IntegerType(), T.DateType(), T.TimestampType(), T.BooleanType()
 
 
@@ -26,7 +24,8 @@ SALES_ITEMS = _schema(
     ("SaleOrderStatus", S), ("SaleOrderItemStatus", S), ("ShippingPackageStatusCode", S), ("ShippingProvider", S),
     ("DispatchDate", TS), ("DeliveryTime", TS), ("AWB", S), ("Facility", S), ("SellerSKU", S),
     ("BillingAddressPhone", S), ("Discount", MONEY), ("CGST", MONEY), ("IGST", MONEY), ("SGST", MONEY),
-    ("ShippingCharges", MONEY), ("CODServiceCharges", MONEY), ("ListingPrice", MONEY))
+    ("ShippingCharges", MONEY), ("CODServiceCharges", MONEY), ("ListingPrice", MONEY),
+    ("CancellationReason", S), ("ShippingCourier", S), ("ShippingPackageCreationDate", TS), ("ReturnReason", S))
 RETURNS = _schema(("Order Number", S), ("SKU", S), ("QNT", L), ("VV Reason", S))
 LISTING_MASTER = _schema(
     ("Channel Product Id", S), ("Product Name on Channel", S), ("SKU Code", S), ("Seller SKU on Channel", S),
@@ -43,24 +42,24 @@ METAFIELDS = _schema(
     ("ID", S), ("Variant SKU", S), ("Created At", S),
     ("Metafield: my_fields.material [list.single_line_text_field]", S),
     ("Metafield: custom.thread_count [number_integer]", I))
-CARRIER_A = _schema(("waybill_num", L), ("order_id", S), ("pickup_date", TS), ("charge_cod", MONEY),
+CARRIER_A = _schema(("waybill_num", S), ("order_id", S), ("pickup_date", TS), ("charge_cod", MONEY),
                     ("total_amount", MONEY))
 CARRIER_B = _schema(("AWB Number", S), ("Order Number", S), ("Date, Time", TS), ("Cod Charges", MONEY),
                     ("Freight Total Amount", MONEY))
 CARRIER_C = _schema(("Tracking ID", S), ("Client Order ID", S), ("Pickup Date", TS), ("COD Charges", MONEY),
                     ("Freight Charges", MONEY))
 
-# Database pipeline.
+# Database pipeline.  Ids of items, returns and packages are compared, never computed with: text.
 ORDERS = _schema(("id", L), ("created_at", TS), ("order_number", S), ("status", S), ("deleted_at", TS))
-ORDER_ITEMS = _schema(("id", L), ("order_id", L), ("product_variant_id", L), ("variant_price", MONEY),
+ORDER_ITEMS = _schema(("id", S), ("order_id", L), ("product_variant_id", L), ("variant_price", MONEY),
                       ("quantity", I), ("variant_inventory_cost_price", MONEY))
 PRODUCT_VARIANTS = _schema(("id", L), ("product_id", L), ("sku", S), ("inventory_quantity", I), ("deleted_at", TS))
 PRODUCTS = _schema(("id", L), ("supplier_id", L), ("published_at", TS), ("deleted_at", TS))
 SUPPLIERS = _schema(("id", L), ("display_name", S), ("deleted_at", TS))
-RETURN_ITEMS = _schema(("order_item_id", L), ("return_id", L))
-DB_RETURNS = _schema(("id", L), ("manufacturer_mistake", B), ("reason", S), ("shipment_tracking_status", S))
-SHIPPING_ORDER_ITEMS = _schema(("order_item_id", L), ("shipping_package_id", L))
-SHIPPING_PACKAGES = _schema(("id", L), ("dispatched_at", TS), ("tracking_number", S), ("courier_status", S))
+RETURN_ITEMS = _schema(("order_item_id", S), ("return_id", S))
+DB_RETURNS = _schema(("id", S), ("manufacturer_mistake", B), ("reason", S), ("shipment_tracking_status", S))
+SHIPPING_ORDER_ITEMS = _schema(("order_item_id", S), ("shipping_package_id", S))
+SHIPPING_PACKAGES = _schema(("id", S), ("dispatched_at", TS), ("tracking_number", S), ("courier_status", S))
 PRODUCT_REVIEWS = _schema(("product_id", L), ("rating", I))
 CALENDAR_H = _schema(("dt", D), ("holiday_flag", I), ("day", I))
 

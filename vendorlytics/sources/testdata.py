@@ -5,12 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-# Each test table is a single parquet file with a single row group, which Spark
-# cannot split: the scan, and every narrow step after it, would run as one task.
-# The larger ones are spread round-robin over the available cores right after
-# the scan (filters and column pruning still reach the scan).  Production
-# inputs are many files and need no such step.
-SPREAD = ("customer", "part", "orders", "lineitem", "events")
 
 
 class DriverTables(dict):
@@ -23,7 +17,5 @@ class DriverTables(dict):
 
     def __missing__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in SPREAD:
-            df = df.repartition(self.spark.sparkContext.defaultParallelism)
         self[name] = df
         return df
