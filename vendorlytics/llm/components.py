@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,31 +52,67 @@ def _step(star: DataFrame, kind: str) -> DataFrame:
     return after
 
 
-def connect(buckets: DataFrame, plausible, confirm) -> DataFrame:
+def meetings(rows: DataFrame, payload: list[str], block: int, meet: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Distinct pairs (a, b) that ``meet`` finds among rows (bucket, rep, label,
+    size, payload ...), size being the bucket's.
+
+    A bucket is dealt into blocks of about ``block`` rows; every two blocks, and
+    each block with itself, meet once, as a table that ``meet`` compares.  So a
+    bucket of n rows is sent n / block times and never held whole.
+    """
+    sides = F.ceil(F.col("size") / block).cast("int")
+    rows = rows.withColumn("sides", sides).withColumn("mine", F.pmod(F.xxhash64("rep"), sides).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select(
+        "bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "rep", "label", *payload)
+    fields = ["bucket", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in fields], 1)
+            cuts = np.append(0, np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if i == j:
+                    continue
+                if held and last != tuple(keys[i]):
+                    yield meet(pa.Table.from_batches(held))
+                    held = []
+                last = tuple(keys[i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield meet(pa.Table.from_batches(held))
+
+    return met.repartition(*fields).sortWithinPartitions(*fields).mapInArrow(run, "a long, b long").distinct()
+
+
+def pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [none])) for x in (a, b)], ["a", "b"])
+
+
+def connect(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame],
+            compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, label) of all nodes that are linked with another one, from
     ``buckets`` (bucket, rep), rows possibly repeated.
 
-    Every bucket is a star around its smallest rep; ``plausible`` narrows pairs (a,
-    b) by cheap exact bounds and ``confirm`` to true links.  Reps that the
-    confirmed links leave apart from their bucket's centre are paired with those
-    of the bucket that they aren't connected with.
+    Every bucket is a star around its smallest rep, and ``confirm`` turns pairs (a,
+    b) into true links.  Buckets whose reps the links leave apart go, as rows
+    (bucket, rep, label, size), to ``compare``, which returns the pairs of
+    different labels that may be linked (see ``meetings``).
     """
-    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")) \
-        .where("centre != last").select("bucket", "centre")
-    shared = stored(buckets.join(centres, "bucket").select("bucket", "rep", "centre").distinct(), "buckets")
-    stars = shared.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = stored(plausible(stars), "pairs")
+    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count("*").alias("size")) \
+        .where("centre != last").select("bucket", "centre", "size")
+    shared = stored(buckets.join(centres, "bucket").select("bucket", "rep", "centre", "size").distinct(), "buckets")
+    pairs = stored(shared.where("rep != centre").select(
+        F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(confirm(pairs), "links")
     labels = stored(components(links), "labels")
     named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
         .withColumn("label", F.coalesce("label", "rep"))
-    main = named.where("rep = centre").select("bucket", F.col("label").alias("main"))
-    named = stored(named.join(main, "bucket").where("rep != centre"), "apart")
-    apart = named.where("label != main").select("bucket", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    others = named.select("bucket", F.col("rep").alias("y"), F.col("label").alias("ly"))
-    more = apart.join(others, "bucket").where("lx != ly") \
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(plausible(more.join(pairs, ["a", "b"], "left_anti")), "more-pairs")
+    apart = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("bucket")
+    named = stored(named.join(apart, "bucket", "left_semi").select("bucket", "rep", "label", "size"), "apart")
+    more = stored(compare(named).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     rest = stored(confirm(more), "more-links")
     out = stored(components(links.unionByName(rest)), "labels")
     for used in (shared, pairs, links, labels, named, more, rest):

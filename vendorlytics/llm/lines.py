@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.components import connect
+from vendorlytics.llm.components import connect, meetings, pair_batch
 from vendorlytics.llm.edit import within
 from vendorlytics.llm.passages import keyed
 from vendorlytics.llm.storage import drop, stored
@@ -38,6 +38,7 @@ from vendorlytics.llm.text import SPACES, hash_spans, mix, slices, span_sums, te
 
 EDITS = 2
 NEAR = 24
+BLOCK, CELLS = 256, 128
 OCCURRENCE = "ord long, k long, no int"
 
 
@@ -156,6 +157,27 @@ def confirm(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _meeting(rows: pa.Table, edits: int) -> pa.RecordBatch:
+    """Pairs of different labels within ``edits``.  An edit changes the counts of
+    two characters at most, so lines whose counts differ by more than 2 * edits in
+    all are never compared."""
+    rep, label = rows["rep"].to_numpy(), rows["label"].to_numpy()
+    texts = rows["content"].to_pylist()
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) % CELLS
+    table = np.bincount(np.repeat(np.arange(len(texts)), sizes) * CELLS + points,
+                        minlength=len(texts) * CELLS).reshape(-1, CELLS).astype(np.int32)
+    a, b = [], []
+    for i in range(len(texts) - 1):
+        maybe = np.flatnonzero((label[i + 1:] != label[i]) & (np.abs(sizes[i + 1:] - sizes[i]) <= edits)) + i + 1
+        if len(maybe):
+            maybe = maybe[np.abs(table[maybe] - table[i]).sum(1) <= 2 * edits]
+            maybe = maybe[[within(texts[i], texts[j], edits) for j in maybe.tolist()]] if len(maybe) else maybe
+            a.append(np.minimum(rep[i], rep[maybe]))
+            b.append(np.maximum(rep[i], rep[maybe]))
+    return pair_batch(a, b)
+
+
 def without(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines whose numbers are in ``gone`` left out of ``text``,
     ``n_lines`` and ``n_removed`` added, ``gone`` dropped."""
@@ -197,7 +219,11 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, near: int = NEAR) -> DataFr
     def confirmed(pairs: DataFrame) -> DataFrame:
         return confirm(pairs, texts_for(pairs), edits)
 
-    labels = connect(buckets(docs, edits, near), lambda pairs: pairs, confirmed)
+    def compared(rows: DataFrame) -> DataFrame:
+        reps = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
+        return meetings(rows.join(texts_for(reps), "rep"), ["content"], BLOCK, lambda t: _meeting(t, edits))
+
+    labels = connect(buckets(docs, edits, near), confirmed, compared)
     classed = lines.where("NOT unsure").join(labels.withColumnRenamed("node", "line"), "line", "left") \
         .select("line", "n", "first", "label").where("n > 1 OR label IS NOT NULL")
     label = F.coalesce("label", "line")

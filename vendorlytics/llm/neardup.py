@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.components import components
+from vendorlytics.llm.components import components, meetings, pair_batch
 from vendorlytics.llm.storage import drop, stored
 from vendorlytics.llm.text import LOWER, Words, mix, slices, text_bytes, window_hashes
 
@@ -169,35 +169,10 @@ def sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 def block_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): pairs of different labels in the same bucket that may be similar,
     from rows (bucket, rep, label, size, n, marks), size being the bucket's."""
-    sides = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("sides", sides).withColumn("mine", F.pmod(F.xxhash64("rep"), sides).cast("int"))
-    # A block goes to the meetings with every block of its bucket, itself included.
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select(
-        "bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "rep", "label", "n", "marks")
-    fields = ["bucket", "x", "y"]
+    return meetings(rows, ["n", "marks"], BLOCK, _meeting)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in fields], 1)
-            cuts = np.append(0, np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)))
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if i == j:
-                    continue
-                if held and last != tuple(keys[i]):
-                    yield _meeting(held)
-                    held = []
-                last = tuple(keys[i])
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield _meeting(held)
-
-    return met.repartition(*fields).sortWithinPartitions(*fields).mapInArrow(run, "a long, b long").distinct()
-
-
-def _meeting(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    rows = pa.Table.from_batches(held)
+
+def _meeting(rows: pa.Table) -> pa.RecordBatch:
     rep, label, n = (rows[c].to_numpy() for c in ("rep", "label", "n"))
     least, of = SIMILAR
     cells = 2048 if n.max() <= 1024 else 16384
@@ -213,8 +188,7 @@ def _meeting(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             maybe = maybe[both * of >= least * (n[i] + n[maybe] - both)]
             a.append(np.minimum(rep[i], rep[maybe]))
             b.append(np.maximum(rep[i], rep[maybe]))
-    none = np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [none])) for x in (a, b)], ["a", "b"])
+    return pair_batch(a, b)
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -266,5 +240,6 @@ def link(docs: DataFrame) -> DataFrame:
 
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(
-        "doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id")) \
+        "doc_id", "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
