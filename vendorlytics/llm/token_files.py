@@ -63,11 +63,13 @@ class Coder:
 
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         """Most chunks go through the library as lines of one text, whose ids are
-        told apart by their bytes; a line feed between two chunks that don't end
-        in white space is always a token of its own."""
+        told apart by their bytes.  A line feed is a token of its own between a
+        chunk that doesn't end in white space and one that begins with something
+        else, or with a single space before it."""
         out: list[bytes] = [b""] * len(chunks)
         texts = [c.decode() for c in chunks]
-        lines = [i for i, t in enumerate(texts) if not t[-1].isspace() and not ("<" in t and any(x in t for x in self.special))]
+        lines = [i for i, t in enumerate(texts) if not t[-1].isspace()
+                 and not (t[0].isspace() and (t[0] != " " or t[1].isspace())) and not ("<" in t and any(x in t for x in self.special))]
         alone = sorted(set(range(len(texts))).difference(lines))
         for i, coded in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)):
             out[i] = np.array(coded.ids, np.int32).tobytes()

@@ -15,7 +15,7 @@ text alone.
 
 Defined results: a null, empty or wordless text gets the score of no evidence; a
 document with several labels is toxic if one is 1; null labels are ignored;
-without labelled documents of both classes every score is 0; repeated rows each
+without labelled documents of both classes every score is next to 0; repeated rows each
 get their result; other columns are ignored.
 """
 
