@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vendorlytics.catalog_params import TEST_PNL, TEST_ROS, TEST_SCORECARD, TEST_SOURCING
-from vendorlytics.plans import scorecard, shipping
+from vendorlytics.plans import sales, scorecard, shipping
 from vendorlytics.plans.marketplace import build_marketplace
 from vendorlytics.plans.sales import lifecycle_status
 from vendorlytics.sources.proxies import sales_tables, scorecard_tables
@@ -63,7 +63,9 @@ def _marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     d.define("sales_ingest", lambda: d["sales"].select(
         "SaleOrderItemCode", "OrderDate", "DispatchDate", "DeliveryTime", "DaysToDispatch", "DaysToDeliver",
         "BillingAddressPhone", "OrderMonth", "UnitsSold", "ListingPrice"))
-    d.define("locf_fill", lambda: d["catalogue"].select("pos", "Handle", "Variant SKU", "Type", "Vendor"))
+    # Blocks of 50 rows, so that types are carried from block to block at the test sizes too.
+    d.define("locf_fill", lambda: sales.clean_catalogue(t["catalogue"], block_size=50).select(
+        "pos", "Handle", "Variant SKU", "Type", "Vendor"))
 
     def normalised() -> DataFrame:
         parts = [shipping.normalise_charges(t[f"carrier_{c.lower()}"], cols).withColumn("Carrier", F.lit(c))
