@@ -66,7 +66,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of the whole texts, their number, and whether they decode to the text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs.select(*COLUMNS), path), path)
+    coded = pieces.encode(docs.select(*COLUMNS), path, decoded="decoded")
     return coded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

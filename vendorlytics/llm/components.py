@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics.llm.storage import drop, stored
+from vendorlytics.llm.text import tidied
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def meetings(rows: DataFrame, payload: list[str], block: int, meet: Callable[[pa
         if held:
             yield meet(pa.Table.from_batches(held))
 
-    return met.repartition(*fields).sortWithinPartitions(*fields).mapInArrow(run, "a long, b long").distinct()
+    return met.repartition(*fields).sortWithinPartitions(*fields).mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def pair_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:

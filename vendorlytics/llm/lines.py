@@ -34,7 +34,7 @@ from vendorlytics.llm.components import connect, meetings, pair_batch
 from vendorlytics.llm.edit import within
 from vendorlytics.llm.passages import keyed
 from vendorlytics.llm.storage import drop, stored
-from vendorlytics.llm.text import SPACES, hash_spans, mix, slices, span_sums, text_bytes
+from vendorlytics.llm.text import SPACES, hash_spans, mix, slices, span_sums, text_bytes, tidied
 
 EDITS = 2
 NEAR = 24
@@ -78,7 +78,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     [pa.array(v) for v in (x.hash.view(np.int64), check.view(np.int64), ord_[x.doc], k[x.doc], x.no)],
                     ["line", "check", "ord", "k", "no"])
 
-    return docs.select("ord", "k", "text").mapInArrow(run, f"line long, check long, {OCCURRENCE}")
+    return docs.select("ord", "k", "text").mapInArrow(tidied(run), f"line long, check long, {OCCURRENCE}")
 
 
 def segments(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +123,7 @@ def buckets(docs: DataFrame, edits: int = EDITS, near: int = NEAR) -> DataFrame:
                 key, rep = np.concatenate(keys).view(np.int64), np.concatenate(reps).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep)], ["bucket", "rep"])
 
-    return docs.select("text").mapInArrow(run, "bucket long, rep long")
+    return docs.select("text").mapInArrow(tidied(run), "bucket long, rep long")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(content, pa.string())], ["rep", "content"])
 
     held = docs.dropDuplicates(["ord", "k"]).join(by_doc, ["ord", "k"]).select("text", "wanted")
-    return held.mapInArrow(run, "rep long, content string")
+    return held.mapInArrow(tidied(run), "rep long, content string")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -154,7 +154,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame
 
     left = texts.select(F.col("rep").alias("a"), F.col("content").alias("left"))
     right = texts.select(F.col("rep").alias("b"), F.col("content").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(tidied(run), "a long, b long")
 
 
 def _meeting(rows: pa.Table, edits: int) -> pa.RecordBatch:
@@ -197,7 +197,7 @@ def without(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [new[c] if c in new else batch.column(c) for c in schema.names], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, near: int = NEAR) -> DataFrame:

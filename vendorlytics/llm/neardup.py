@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from vendorlytics.llm.components import components, meetings, pair_batch
 from vendorlytics.llm.storage import drop, stored
-from vendorlytics.llm.text import LOWER, Words, mix, slices, text_bytes, window_hashes
+from vendorlytics.llm.text import LOWER, Words, mix, slices, text_bytes, tidied, window_hashes
 
 SHINGLE = 5
 SIMILAR = (75, 100)
@@ -112,7 +112,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "set_hash", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_hash string, bands array<long>")
+        tidied(run), "doc_id long, n_shingles long, set_hash string, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     ["rep", "n", "shingles", "marks"])
 
     rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "set_hash", "text")
-    return rows.mapInArrow(run, "rep long, n long, shingles binary, marks binary").dropDuplicates(["rep"])
+    return rows.mapInArrow(tidied(run), "rep long, n long, shingles binary, marks binary").dropDuplicates(["rep"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right") \
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(tidied(run), "a long, b long")
 
 
 def sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:

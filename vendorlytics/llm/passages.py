@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics.llm.storage import drop, stored
-from vendorlytics.llm.text import Words, doc_of, inside, mix, slices, text_bytes, window_hashes
+from vendorlytics.llm.text import Words, doc_of, inside, mix, slices, text_bytes, tidied, window_hashes
 
 WINDOW = 20
 PERIOD = 13
@@ -84,7 +84,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 deal = np.where(kind == KNOWN, spread(ord_[doc], k[doc]), s).view(np.int64)
                 yield _numbers(deal=deal, kind=kind, ord=ord_[doc], k=k[doc], pos=pos.astype(np.int32))
 
-    return docs.select("ord", "k", "text").mapInArrow(run, f"deal long, kind byte, {KEY}, pos int")
+    return docs.select("ord", "k", "text").mapInArrow(tidied(run), f"deal long, kind byte, {KEY}, pos int")
 
 
 def repeated(anchored: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def repeated(anchored: DataFrame) -> DataFrame:
             last, waiting = h[-1], None if flag[-1] else rows.slice(len(h) - 1, 1)
             yield rows.filter(pa.array(flag))
 
-    return anchored.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, f"{KEY}, pos int")
+    return anchored.repartition("deal").sortWithinPartitions("deal").mapInArrow(tidied(run), f"{KEY}, pos int")
 
 
 def candidate_windows(docs: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def candidate_windows(docs: DataFrame) -> DataFrame:
                 deal = np.where(known, spread(o, q).view(np.int64), one)
                 yield _numbers(deal=deal, w2=two, known=known, ord=o, k=q, start=place)
 
-    return docs.mapInArrow(run, f"deal long, w2 long, known boolean, {KEY}, start int")
+    return docs.mapInArrow(tidied(run), f"deal long, w2 long, known boolean, {KEY}, start int")
 
 
 def later(found: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def later(found: DataFrame) -> DataFrame:
             yield batch.select(["ord", "k", "start"]).filter(pa.array(flag))
 
     return found.repartition("deal").sortWithinPartitions("deal", "w2", "ord", "k", "start") \
-        .mapInArrow(run, f"{KEY}, start int")
+        .mapInArrow(tidied(run), f"{KEY}, start int")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def removed(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(np.diff(cut).astype(np.int64)),
                      pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return docs.mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

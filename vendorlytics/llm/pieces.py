@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from vendorlytics.llm.text import SLICE_BYTES, ChunkCache, chunk_array, ragged, slices, text_bytes
+from vendorlytics.llm.text import SLICE_BYTES, ChunkCache, chunk_array, ragged, slices, text_bytes, tidied
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -280,18 +280,28 @@ def _with_column(df: DataFrame, name: str, kind: str):
     return T.StructType([*fields, T.StructField(name, T._parse_datatype_string(kind))])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the column ``ids`` (array of int): the piece ids of each whole text."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the column ``ids`` (array of int): the piece ids of each whole text; and,
+    if asked for, ``decoded``: the text that these ids decode to."""
     schema = _with_column(df, ids, "array<int>")
+    if decoded:
+        schema = schema.add(decoded, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
-            for part in slices(batch, text):
-                out = m.encode(part.column(text)).cast(pa.list_(pa.int32()))
-                yield _replaced(part, schema.names, ids, out)
+        try:
+            for batch in batches:
+                for part in slices(batch, text):
+                    coded = m.encode(part.column(text))
+                    new = {ids: coded.cast(pa.list_(pa.int32()))}
+                    if decoded:
+                        new[decoded] = m.decode(coded)
+                    yield pa.RecordBatch.from_arrays(
+                        [new[n] if n in new else part.column(n) for n in schema.names], schema.names)
+        finally:
+            m.cache.clear()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -307,7 +317,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
                 part = batch.slice(at, end - at)
                 yield _replaced(part, schema.names, text, m.decode(part.column(ids)))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def _runs(group: np.ndarray) -> Iterator[tuple[int, int]]:

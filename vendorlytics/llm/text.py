@@ -7,6 +7,7 @@ by the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,23 @@ def text_bytes(column: pa.Array, copy: bool = True) -> tuple[np.ndarray, np.ndar
     return (data.copy() if copy else data), raw - raw[0]
 
 
+def tidied(run):
+    """``run`` of a mapInArrow, giving the memory it used back to the system when
+    its partition ends: Python workers outlive their tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # only glibc has it
+                pass
+
+    return whole
+
+
 class Words:
     """The words of some texts, stored back to back without separators.
 
@@ -188,7 +206,7 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
 
 
 class ChunkCache:
-    """Token ids of text chunks, kept per Python worker: two generations of up to
+    """Token ids of text chunks, kept while a task runs: two generations of up to
     ``limit`` chunks, of which the older goes when the younger is full.
 
     ``encode(list of bytes) -> list of int32 bytes`` is called for the chunks
@@ -198,6 +216,9 @@ class ChunkCache:
     def __init__(self, encode, limit: int = 100_000):
         self.encode, self.limit, self.young, self.old = encode, limit, {}, {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def ids(self, chunks: pa.Array) -> pa.ListArray:
         """ids of each chunk, as a large list array."""
         coded = chunks.dictionary_encode()

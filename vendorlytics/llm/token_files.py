@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from vendorlytics.llm import rans
 from vendorlytics.llm.storage import drop, open_file, releasing_shuffles, stored, write_file
-from vendorlytics.llm.text import ChunkCache, chunk_array, ragged, slices, text_bytes
+from vendorlytics.llm.text import ChunkCache, chunk_array, ragged, slices, text_bytes, tidied
 
 MAGIC = b"RANSTOK1"
 BLOCKS_AT_ONCE = 48
@@ -151,9 +151,10 @@ def encode(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id")
                     pa.large_binary(), len(part), [None, pa.py_buffer(at * 4), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(doc_id), pa.array(np.diff(at)), ids.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+        c.cache.clear()
 
     return df.select(doc_id, text).mapInArrow(
-        run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_tokens long, ids binary")
+        tidied(run), f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_tokens long, ids binary")
 
 
 def id_counts(coded: DataFrame) -> dict[int, int]:
@@ -169,7 +170,7 @@ def id_counts(coded: DataFrame) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
-    counts = coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = coded.select("ids").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r.id: r.n for r in counts.collect()}
 
 
@@ -277,7 +278,7 @@ def write(df: DataFrame, path: str, folder: str, text: str = "text", doc_id: str
             yield pa.RecordBatch.from_pydict({"first_row": [first], "tokens": [out.tokens]})
 
     with releasing_shuffles(spark):
-        written = sorted(coded.mapInArrow(run, "first_row long, tokens long").collect())  # one small row a file
+        written = sorted(coded.mapInArrow(tidied(run), "first_row long, tokens long").collect())  # one small row a file
     drop(coded)
     starts = np.append(0, np.cumsum([r.tokens for r in written])).tolist()
     manifest = [(f"ids-{r.first_row:016x}", start, r.tokens) for r, start in zip(written, starts)]
@@ -365,4 +366,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield from _read_file(f"{folder}/{files[i][0]}", table, files[i][1])
 
     each = spark.range(0, len(files), 1, max(1, len(files)))  # a file a task
-    return each.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return each.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids binary")

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from vendorlytics.llm.crf import Chains, observed_transitions
 from vendorlytics.llm.storage import stored
-from vendorlytics.llm.text import LOWER, Words, doc_of, hash_spans, mix, slices, span_sums, text_bytes
+from vendorlytics.llm.text import LOWER, Words, doc_of, hash_spans, mix, slices, span_sums, text_bytes, tidied
 
 SAMPLE = 4000
 THRESHOLD, CLEAN = 0.3, 0.05
@@ -231,7 +231,7 @@ def tag(docs: DataFrame, tagger: Tagger, keep: tuple[str, ...] = ("doc_id",)) ->
                     [*(part.column(c) for c in keep), pa.array(tagger.scores(x)), pa.array(np.expm1(x[:, 1])),
                      pa.array(spans, kind)], schema.names)
 
-    return docs.select(*read).mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(tidied(run), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlytics.llm.storage import drop, open_file, releasing_shuffles, stored, write_file
+from vendorlytics.llm.text import tidied
 
 MIN_SHARED = 100
 BLOCK_LINES = 1000
@@ -154,7 +155,7 @@ def write_archives(decided: DataFrame, folder: str) -> DataFrame:
             yield _columns(CAPTURE, captures)
             captures.clear()
 
-    return decided.mapInArrow(run, CAPTURE)
+    return decided.mapInArrow(tidied(run), CAPTURE)
 
 
 def write_index(captures: DataFrame, folder: str) -> None:
@@ -183,7 +184,7 @@ def write_index(captures: DataFrame, folder: str) -> None:
 
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     with releasing_shuffles(captures.sparkSession):
-        files = sorted(tuple(r) for r in ordered.mapInArrow(run, "key string, file string, blocks long").collect())
+        files = sorted(tuple(r) for r in ordered.mapInArrow(tidied(run), "key string, file string, blocks long").collect())
     write_file(f"{folder}/manifest", [json.dumps(files).encode()])  # a row an index file
 
 
@@ -218,7 +219,7 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
                 for _, at, size in _directory(f):
                     yield _columns(CAPTURE, [tuple(x) for x in _block(f, at, size)])
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, CAPTURE)
+    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(tidied(run), CAPTURE)
 
 
 def lookup(urls: DataFrame, folder: str, url: str = "url") -> DataFrame:
@@ -246,7 +247,7 @@ def lookup(urls: DataFrame, folder: str, url: str = "url") -> DataFrame:
             yield _columns(CAPTURE, [x for key in keys for x in found(key, opened)])
 
     asked = urls.select(F.col(url).alias("url")).distinct()
-    return asked.mapInArrow(run, CAPTURE).distinct()
+    return asked.mapInArrow(tidied(run), CAPTURE).distinct()
 
 
 def read_records(captured: DataFrame, folder: str) -> DataFrame:
@@ -278,7 +279,7 @@ def read_records(captured: DataFrame, folder: str) -> DataFrame:
     # A fixed number of partitions: the rows are small, what they point to isn't.
     tasks = int(captured.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return captured.select("file", "offset", "length", "url").repartition(tasks, "file") \
-        .sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+        .sortWithinPartitions("file", "offset").mapInArrow(tidied(run), RECORD)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
