@@ -49,11 +49,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
+    """One document of each group of near duplicates stays, the one with the smallest
+    id; equal rows become one, and a row without id stays."""
     kept = neardup.link(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     one = docs.select(*COLUMNS)
     without_id = one.where("doc_id IS NULL")
-    return one.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(without_id)
+    return one.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS).unionByName(without_id)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
