@@ -240,6 +240,14 @@ def test_decontamination_equals_a_scan(spark):
     assert none.where("contaminated OR n_hit > 0").count() == 0
 
 
+def test_repeated_rows_keep_their_matches(spark):
+    passage = prose(8, 30)
+    rows = [(1, passage), (1, passage), (1, "another text"), (None, passage), (None, passage), (None, passage), (2, "x " + passage)]
+    out = decontaminate.decontaminate(documents(spark, rows), spark.createDataFrame([(4, passage)], "item_id long, text string"))
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in out.collect()) == {
+        (1, 30, 30, ("4",), True): 2, (1, 2, 0, (), False): 1, (None, 30, 30, ("4",), True): 3, (2, 31, 30, ("4",), True): 1}
+
+
 def test_proximity_allows_words_in_between(spark):
     test = decontaminate.windows(spark.createDataFrame([(1, "rare alpha common beta")], "item_id long, text string"))
     docs = decontaminate.corpus(spark.createDataFrame(

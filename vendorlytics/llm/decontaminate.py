@@ -80,10 +80,12 @@ def starts_of(index: DataFrame, anchored: DataFrame) -> DataFrame:
 
 
 def intersect(index: DataFrame, anchored: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, phrase, start) where all anchors of a window agree."""
-    need = anchored.groupBy("phrase").agg(F.count("*").alias("need"))
+    """(doc_id, text_hash, phrase, start) where all anchors of a window agree.  The
+    anchors are met as a set, since repeated rows post each of theirs again."""
+    turns = F.bit_or(F.expr("shiftleft(1, turn)"))
+    need = anchored.groupBy("phrase").agg(turns.alias("need"))
     return starts_of(index, anchored).where("start >= 0").groupBy(*KEY, "phrase", "start").agg(
-        F.count("*").alias("met")).join(need, "phrase").where("met = need").select(*KEY, "phrase", "start")
+        turns.alias("met")).join(need, "phrase").where("met = need").select(*KEY, "phrase", "start")
 
 
 def proximity(index: DataFrame, anchored: DataFrame, slop: int) -> DataFrame:
