@@ -478,6 +478,24 @@ def test_base_scores_equal_the_formula(spark):
     assert all(math.isfinite(r.score) and r.score < 0 for r in out)
 
 
+MARKED = ["a▁b", "▁", "x ▁ y ▁▁ z", "▁a▁▁ b▁", "▂▁ ▁▂", "one two▁three four"]
+
+
+def test_space_marks_inside_words_are_scored(spark):
+    rows = [(i, prose(i, 40)) for i in range(30)] + [(100 + k, t) for k, t in enumerate(MARKED * 3)]
+    out = {r.doc_id: r for r in language_model.score(documents(spark, rows), PIECES, sample=40, steps=2).collect()}
+    assert len(out) == len(rows)
+    for i, t in rows:
+        assert out[i].n_tokens == len(WORD.findall(t)) + 1 and math.isfinite(out[i].score) and out[i].score < 0
+    model = pieces.model(PIECES, checked=False)
+    words = language_model.words_of(pa.array(MARKED, pa.string()))
+    _, targets, first, at = language_model.sequences(words, model)
+    assert len(at) == sum(len(WORD.findall(t)) + 1 for t in MARKED) and (np.diff(np.append(at, len(targets))) > 0).all()
+    parts = [targets[a:b].tolist() for a, b in zip(at, np.append(at[1:], len(targets)))]
+    want = [x for t in MARKED for x in [*(model.library.encode(w) for w in WORD.findall(t)), [language_model.END]]]
+    assert parts == want
+
+
 # ------------------------------------------------------------------ 10 quality
 
 def test_binomial_tail_is_exact(spark):
