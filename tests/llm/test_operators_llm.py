@@ -496,6 +496,20 @@ def test_space_marks_inside_words_are_scored(spark):
     assert parts == want
 
 
+def test_bounds_on_what_tasks_hold_change_no_score(spark, monkeypatch):
+    rows = [(i, prose(i, 60)) for i in range(60)] + [(100 + k, t) for k, t in enumerate(MARKED)]
+    rows += [(200, "unheard " + "of" * 9), (200, "unheard " + "of" * 9), (None, "Extraordinary antidisestablishmentarianism")]
+
+    def scores():
+        out = language_model.score(documents(spark, rows), PIECES, sample=40, steps=5).collect()
+        return sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in out)
+
+    want = scores()
+    monkeypatch.setattr(language_model, "FREQUENT", 12)
+    monkeypatch.setattr(language_model, "PAIRS", 5)
+    assert scores() == want
+
+
 # ------------------------------------------------------------------ 10 quality
 
 def test_binomial_tail_is_exact(spark):
