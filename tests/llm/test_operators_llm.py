@@ -510,6 +510,27 @@ def test_bounds_on_what_tasks_hold_change_no_score(spark, monkeypatch):
     assert scores() == want
 
 
+def test_attention_is_trained_on_every_document(spark, monkeypatch):
+    rows = [(i, prose(i, 60)) for i in range(80)] + [(500, "antidisestablishmentarianism"), (501, None), (502, "")]
+    subwords = pieces.model(PIECES, checked=False)
+    inputs, targets, first, _ = language_model.sequences(language_model.words_of(pa.array([t for _, t in rows], pa.string())), subwords)
+    cuts = windows(first)
+    model = Model(len(subwords.shown), Vocabulary(np.bincount(targets, minlength=len(subwords.shown)).astype(float)))
+    before, loss = model.p["embed"].copy(), -np.log(model.probability(inputs, targets, first)).mean()
+    docs = documents(spark, rows).repartition(5)
+    assert language_model.train_all(docs, model, PIECES, passes=2) == 2 * len(cuts[0])
+    moved = (model.p["embed"] != before).any(1)
+    assert set(np.flatnonzero(moved)) <= set(inputs.tolist()) and moved[inputs[first[80]:first[81]]].all()
+    assert -np.log(model.probability(inputs, targets, first)).mean() < loss
+    assert language_model.train_all(docs.limit(0), model, PIECES) == 0
+
+    given, train = [], language_model.train_all
+    monkeypatch.setattr(language_model, "train_all", lambda d, *a: given.append({r.doc_id for r in d.collect()}) or train(d, *a))
+    language_model.score(documents(spark, rows), PIECES, sample=40, steps=2).count()
+    used = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 != 0}
+    assert given[0] <= used and len(used - given[0]) <= 20  # only the mixture's are left out
+
+
 # ------------------------------------------------------------------ 10 quality
 
 def test_binomial_tail_is_exact(spark):
