@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from vendorlytics.llm import (
     decontaminate,
+    divergence,
+    importance,
     language_model,
     lines,
     neardup,
+    neighbours,
     passages,
     pieces,
     quality,
@@ -89,6 +92,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -101,5 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_language_model": op9_language_model,
         "op10_quality": op10_quality,
+        "op11_importance": op11_importance,
+        "op12_neighbours": op12_neighbours,
+        "op13_divergence": op13_divergence,
         "pipeline": corpus_pipeline.run,
     }

@@ -66,3 +66,36 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM doc LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+_TERM13 = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+ORACLE["op13_divergence"] = f"""
+WITH doc AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all({_LOWER}, '{_TERM13}') AS w FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+tok AS (SELECT d, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS total FROM tok GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
+size AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY 1),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM tok JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+own AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM grp LEFT JOIN cnt USING (lang, source) GROUP BY 1, 2),
+share AS (
+    SELECT lang, source, term, total, coalesce(c, 0)::HUGEINT AS c,
+           1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (own.n + v) AS p,
+           1 + (1000000000::HUGEINT * (total + 1)) // (size.n + v) AS q
+    FROM grp JOIN kept USING (lang) JOIN size USING (lang) JOIN own USING (lang, source) LEFT JOIN cnt USING (lang, source, term)),
+pair AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+           sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+    FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    UNION ALL
+    SELECT a.lang, a.source, 'pair', b.source, 0 FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    WHERE a.lang NOT IN (SELECT lang FROM size)),
+more AS (
+    SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value
+    FROM share WHERE c > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+    FROM (SELECT * FROM pair UNION ALL SELECT * FROM more))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
