@@ -2,13 +2,16 @@
 
 import datetime as dt
 import random
+from collections import Counter
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vendorlytics.operators.allocation import allocate
 from vendorlytics.operators.conditional_distinct import conditional_distinct_counts
-from vendorlytics.operators.live_periods import expand_months
+from vendorlytics.operators.live_periods import expand_months, running_live
 from vendorlytics.operators.locf import locf
 from vendorlytics.operators.union import union_distinct
 from vendorlytics.operators.working_days import working_days
@@ -108,9 +111,6 @@ def test_month_expansion_equals_theta_join(spark):
     theta = (items.join(months, F.col("start") <= F.col("m"))
              .where((F.col("m") <= "2023-06") & F.col("m").isNotNull()).select("sku", F.col("m").alias("month")))
     assert rows(got, "sku", "month") == rows(theta, "sku", "month")
-    # Only starts that are no month meet the (bounded) months by comparison.
-    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("NestedLoop") <= 1
 
 
 def test_union_distinct_by_position_with_cast(spark):
@@ -118,3 +118,69 @@ def test_union_distinct_by_position_with_cast(spark):
     b = spark.createDataFrame([("1", "x"), ("2", None)], "awb_text string, order_no string")
     got = union_distinct([a, b], ["AWB", "OrderNo"], ["string", "string"])
     assert rows(got) == [("1", "x"), ("2", None)]
+
+
+def test_locf_in_levels_equals_single_window(spark):
+    rnd = random.Random(4)
+    data = [(p, rnd.choice([None, None, None, None, f"v{p}"])) for p in range(2000) if rnd.random() < 0.7]
+    data = [(p, None if p < 40 or 900 < p < 1500 else v) for p, v in data]  # whole blocks and groups without a value
+    df = spark.createDataFrame(data, "pos long, t string").repartition(5)
+    want, last = [], None
+    for p, v in sorted(data):
+        last = v if v is not None else last
+        want.append((p, last))
+    # Blocks of 3 rows, summaries of 5: 2000 positions need three levels above the rows and more.
+    for levels in (5, 6):
+        got = sorted((r.pos, r.t) for r in locf(df, "pos", "t", block_size=3, fan_out=5, levels=levels).collect())
+        assert got == want
+    plan = locf(df, "pos", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_locf_beyond_its_levels_is_an_error(spark):
+    df = spark.createDataFrame([(0, "a"), (30, None)], "pos long, t string")
+    assert locf(df, "pos", "t", block_size=3, fan_out=11, levels=1).count() == 2
+    with pytest.raises(Exception, match="position beyond"):
+        locf(df, "pos", "t", block_size=3, fan_out=10, levels=1).collect()
+
+
+def live_fixture(spark):
+    rnd = random.Random(9)
+    months = ["2023-01", "2023-02", "2023-04", "2023-05", "2023-06", "2023-08"]  # gaps
+    items = [(rnd.choice(["a", "b", None]), rnd.choice([None, *(f"s{i}" for i in range(12))]),
+              rnd.choice([None, "", "2022-11", "2023-02", "2023-03", "2023-06", "2023-07", "2023-09", "zz"]),
+              rnd.choice([None, Decimal("1.50"), Decimal("2.25")])) for _ in range(120)]
+    sold = [(m, s, rnd.choice([None, 1, 5]), Decimal(rnd.randrange(400)) / 4) for m in [*months, "2023-03", None]
+            for s in [*(f"s{i}" for i in range(0, 12, 2)), None]]
+    return (spark.createDataFrame(items, "g string, sku string, start string, price decimal(24,6)"), items,
+            spark.createDataFrame([(m,) for m in [*months, months[0], None]], "m string"), months,
+            spark.createDataFrame(sold, "month string, id string, units long, lp decimal(38,6)"), sold)
+
+
+def test_running_live_equals_the_theta_join(spark):
+    items, item_rows, months, month_list, sold, sold_rows = live_fixture(spark)
+    got = running_live(items, "start", months, "m", "2023-06", "month", ["g"], "sku", "skus", {"avg": "price"},
+                       sold, "month", "id", {"units": "units", "value": "lp"})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    by_key = {(m, s): (u, v) for m, s, u, v in sold_rows if m and s}
+    want = {}
+    for g, sku, start, price in item_rows:
+        for m in month_list:
+            if start is not None and start <= m <= "2023-06":
+                ids, prices, total = want.setdefault((g, m), (set(), [], [0, 0]))
+                ids.update({sku} - {None})
+                prices += [price] if price is not None else []
+                units, value = by_key.get((m, sku), (None, None))
+                total[0] += units or 0
+                total[1] += value or 0
+    want = {k: (len(ids), float(sum(ps)) / len(ps) if ps else None, *total) for k, (ids, ps, total) in want.items()}
+    assert {(r.g, r.month): (r.skus, r.avg, r.units, r.value) for r in got.collect()} == want
+
+
+def test_expand_months_compares_text_without_a_nested_loop(spark):
+    items, item_rows, months, month_list, _, _ = live_fixture(spark)
+    got = expand_months(items, "start", months, "m", "2023-06", "month")
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    want = Counter((g, s, b, m) for g, s, b, _ in item_rows for m in month_list if b is not None and b <= m <= "2023-06")
+    assert Counter((r.g, r.sku, r.start, r.month) for r in got.collect()) == want

@@ -63,8 +63,7 @@ def _marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     d.define("sales_ingest", lambda: d["sales"].select(
         "SaleOrderItemCode", "OrderDate", "DispatchDate", "DeliveryTime", "DaysToDispatch", "DaysToDeliver",
         "BillingAddressPhone", "OrderMonth", "UnitsSold", "ListingPrice"))
-    # Blocks of 50 rows, so that types are carried from block to block at the test sizes too.
-    d.define("locf_fill", lambda: sales.clean_catalogue(t["catalogue"], block_size=50).select(
+    d.define("locf_fill", lambda: sales.clean_catalogue(t["catalogue"]).select(
         "pos", "Handle", "Variant SKU", "Type", "Vendor"))
 
     def normalised() -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vendorlytics import params as P
 from vendorlytics.functions.expr import ilike, strip_chars, sum_money, typed_null
-from vendorlytics.operators.live_periods import expand_months
+from vendorlytics.operators.live_periods import running_live
 
 MATERIAL_FIELD = "Metafield: my_fields.material [list.single_line_text_field]"
 THREAD_COUNT_FIELD = "Metafield: custom.thread_count [number_integer]"
@@ -103,26 +103,18 @@ def monthly_sku_sales(mart: DataFrame) -> DataFrame:
             .agg(F.sum("UnitsSold").alias("UnitsSold"), sum_money(mart, "ListingPrice").alias("ListingPrice")))
 
 
-def _avg_money(c: str) -> Column:
-    return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
-
-
 def sourcing_report(textile: DataFrame, calendar: DataFrame, monthly_sales: DataFrame, subcat_map: DataFrame,
                     p: P.SourcingParams = P.SourcingParams()) -> DataFrame:
     """Per report month (every calendar month from the SKU's creation
     month to the cut-off) and attribute group: live SKUs, average selling and
     cost price, units and listing price sold that month; groups without a
-    department are dropped."""
-    live = expand_months(textile, "CreateMonth", calendar, "mnt_no", p.cutoff_month, "ReportMonth")
-    sales = monthly_sales.select("ReportMonth", F.col("SellerSKU").alias("VariantSKU"),
-                                 F.col("UnitsSold").alias("_units"), F.col("ListingPrice").alias("_lp"))
+    department are dropped.  Running sums over months: no row per SKU and month."""
     sub = subcat_map.where(F.col("Dep").isNotNull()).select(F.col("SubCat").alias("SubCategory"), "Dep")
-    j = (live.join(sales, ["VariantSKU", "ReportMonth"], "left")
-         .join(sub, "SubCategory", "inner"))
-    return (j.groupBy("ReportMonth", "SubCategory", "Vendor", "Size", "Material", "TC", "Dep")
-            .agg(F.count_distinct("VariantSKU").alias("SKUCount"),
-                 _avg_money("SP").alias("AvgSP"), _avg_money("CP").alias("AvgCP"),
-                 F.coalesce(F.sum("_units"), F.lit(0)).alias("UnitsSold"),
-                 F.coalesce(F.sum("_lp"), F.lit(0)).alias("ListingPrice"))
-            .select("ReportMonth", "SubCategory", "Vendor", "Size", "Material", "TC", "SKUCount", "AvgSP",
-                    "AvgCP", "UnitsSold", "ListingPrice", "Dep"))
+    report = running_live(
+        textile.join(sub, "SubCategory", "inner"), "CreateMonth", calendar, "mnt_no", p.cutoff_month, "ReportMonth",
+        group_cols=("SubCategory", "Vendor", "Size", "Material", "TC", "Dep"), id_col="VariantSKU",
+        distinct_name="SKUCount", avgs={"AvgSP": "SP", "AvgCP": "CP"},
+        monthly=monthly_sales, monthly_month="ReportMonth", monthly_id="SellerSKU",
+        sums={"UnitsSold": "UnitsSold", "ListingPrice": "ListingPrice"})
+    return report.select("ReportMonth", "SubCategory", "Vendor", "Size", "Material", "TC", "SKUCount", "AvgSP",
+                         "AvgCP", "UnitsSold", "ListingPrice", "Dep")
