@@ -3,7 +3,7 @@ mart and every table derived from it."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -20,7 +20,8 @@ OUTPUTS = ("sales", "catalogue", "sku_catalogue", "return_claims", "allocated",
 
 def build_marketplace(t: dict[str, DataFrame], ros: P.RateOfSaleParams = P.RateOfSaleParams(),
                       pnl_params: P.PnlParams = P.PnlParams(), src: P.SourcingParams = P.SourcingParams(),
-                      tie_break: Sequence[str] | None = None, persist: bool = False) -> Datasets:
+                      tie_break: Sequence[str] | None = None, persist: bool = False,
+                      heavy: Mapping[str, Sequence] | None = None) -> Datasets:
     """All datasets as lazy DataFrames, each built on first access.  With
     ``persist`` the cleaned catalogue (read by three datasets) is computed
     once.  The wide sales tables are not persisted: measured at sf0.1, building
@@ -32,13 +33,12 @@ def build_marketplace(t: dict[str, DataFrame], ros: P.RateOfSaleParams = P.RateO
     d.define("catalogue", lambda: sales.clean_catalogue(t["catalogue"]), shared=True)
     d.define("sku_catalogue", lambda: sales.sku_catalogue(d["catalogue"]))
     d.define("return_claims", lambda: sales.return_claims(t["returns"]))
-    d.define("allocated", lambda: sales.allocate_returns(d["sales"], d["return_claims"], tie_break))
+    d.define("allocated", lambda: sales.allocate_returns(d["sales"], d["return_claims"], tie_break, heavy))
     # First month and order totals use no allocation column: read the lines.
     d.define("first_order_month", lambda: sales.first_order_month(d["sales"]))
     d.define("order_totals", lambda: sales.order_totals(d["sales"]))
-    d.define("mart_lines", lambda: sales.mart_lines(d["allocated"], t["listing_master"], t["calendar"],
-                                                    t["pincodes"], d["sku_catalogue"], t["subcat_map"],
-                                                    d["sales"]))
+    d.define("mart_lines", lambda: sales.mart_lines(d["sales"], d["return_claims"], t["listing_master"], t["calendar"],
+                                                    t["pincodes"], d["sku_catalogue"], t["subcat_map"], tie_break, heavy))
     d.define("sales_mart", lambda: sales.aggregate_mart(d["mart_lines"]))
 
     # Latest order date from the lines (every line is in the mart with its date).
