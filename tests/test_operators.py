@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vendorlytics.operators.allocation import allocate
 from vendorlytics.operators.conditional_distinct import conditional_distinct_counts
+from vendorlytics.operators.heavy import heavy_keys, left_join_apart
 from vendorlytics.operators.live_periods import expand_months, running_live
 from vendorlytics.operators.locf import locf
 from vendorlytics.operators.union import union_distinct
@@ -184,3 +185,73 @@ def test_expand_months_compares_text_without_a_nested_loop(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     want = Counter((g, s, b, m) for g, s, b, _ in item_rows for m in month_list if b is not None and b <= m <= "2023-06")
     assert Counter((r.g, r.sku, r.start, r.month) for r in got.collect()) == want
+
+
+def hot_lines(spark, n=3000):
+    """Lines of which a third has no order and a third one order."""
+    rnd = random.Random(2)
+    data = [(rnd.choice([None, "hot", f"o{rnd.randrange(300)}"]), rnd.choice([None, "a", "b", "c"]), rnd.choice([-1, 0, 1]),
+             f"i{i}", i % 7) for i in range(n)]
+    claims = [("hot", "a", 40), ("hot", "b", 5), ("hot", "zz", 1), (None, "a", 9), ("o1", None, 9),
+              *((f"o{i}", s, rnd.randrange(1, 4)) for i in range(0, 300, 3) for s in "ab")]
+    return (spark.createDataFrame(data, "o string, k string, code int, id string, v int").repartition(6),
+            spark.createDataFrame(claims, "o string, k string, q long"), data, claims)
+
+
+def plain_allocation(data, claims):
+    want, groups, totals = {}, {}, Counter()
+    for o, k, code, i, v in data:
+        groups.setdefault((o, k), []).append((code, i))
+        if o is not None:
+            totals[o] += v
+    quantity = {(o, k): q for o, k, q in claims if o is not None and k is not None}
+    for key, lines in groups.items():
+        for n, (code, i) in enumerate(sorted(lines)):
+            want[i] = -1 if n < quantity.get(key, 0) else code
+    return want, totals
+
+
+@pytest.mark.parametrize("heavy", [(), ("hot", "o1")])
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_allocation_and_totals_on_one_exchange(spark, heavy, broadcast):
+    rows, claims, data, claim_rows = hot_lines(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = allocate(rows, claims, ["o", "k"], "code", "q", ["id"], "out", totals={"t": F.sum("v")}, heavy=heavy, keep_salt=True)
+        grouped = got.groupBy("o", "id", "out", "t", "_salt").agg(F.sum("v").alias("v"))
+        plan = grouped._jdf.queryExecution().executedPlan().toString()
+        out = {r.id: (r.out, r.t) for r in grouped.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want, totals = plain_allocation(data, claim_rows)
+    assert out == {i: (want[i], totals[o] if o is not None else None) for o, _, _, i, _ in data}
+    if not heavy:  # the lines are exchanged once: by order, for claims, ranks, totals and the grouping
+        assert plan.count("REPARTITION_BY_COL") == 1
+        above = plan[:plan.index("Join")]
+        assert "Window" in above and "Aggregate" in above and "Exchange" not in above
+        assert plan.count("Exchange hashpartitioning") <= 3  # the lines' and the claims' two
+
+
+@pytest.mark.parametrize("heavy", [(), ("hot", "none such")])
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_join_apart_equals_the_plain_join(spark, heavy, broadcast):
+    rows, _, _, _ = hot_lines(spark)
+    dim = spark.createDataFrame([("hot", 1), ("hot", 2), (None, 3), ("o1", 4), ("o2", None)], "o string, d int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = left_join_apart(rows, dim, "o", ["id"], heavy, spread=8)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        have, want = Counter(map(tuple, got.select("id", "o", "d").collect())), Counter(map(tuple, rows.join(dim, "o", "left").select("id", "o", "d").collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert have == want
+    assert ("Generate explode" in plan) == bool(heavy)
+    if broadcast == "-1":
+        assert all("_salt" in x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_heavy_keys_names_keys_above_the_share(spark):
+    rows, _, _, _ = hot_lines(spark)
+    found = heavy_keys(rows, ["o", "k"], share=0.2)
+    assert found["o"] == ["hot"] and sorted(found["k"]) == ["a", "b", "c"]
+    assert heavy_keys(rows.limit(0), ["o"]) == {"o": []}
