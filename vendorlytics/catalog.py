@@ -60,9 +60,7 @@ def _marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     d.define("return_allocation", lambda: d["allocated"].select(
         *projected, "OrderStatusMod", "AllocatedStatus", "ClaimReason"))
     d.define("lifecycle_status", lambda: d["allocated"].select(*projected, lifecycle_status().alias("OrderStatus")))
-    d.define("sales_ingest", lambda: d["sales"].select(
-        "SaleOrderItemCode", "OrderDate", "DispatchDate", "DeliveryTime", "DaysToDispatch", "DaysToDeliver",
-        "BillingAddressPhone", "OrderMonth", "UnitsSold", "ListingPrice"))
+    d.define("sales_ingest", lambda: d["sales"])
     d.define("locf_fill", lambda: sales.clean_catalogue(t["catalogue"]).select(
         "pos", "Handle", "Variant SKU", "Type", "Vendor"))
 
@@ -79,10 +77,10 @@ MARKETPLACE_KEYS = ("sales_ingest", "locf_fill", "sku_catalogue", "return_claims
                     "lifecycle_status", "first_order_month", "order_totals", "sales_mart", "rate_of_sale",
                     "category_revenue", "active_listing", "launch_month_revenue", "carrier_normalise",
                     "carrier_union", "shipment_facts", "shipping_ledger", "facility_dim", "pnl_lines",
-                    "pnl_cost_lines", "pnl_month_facility", "material_clean", "product_header",
+                    "pnl_cost_lines", "pnl_cost_lines_by_awb", "pnl_month_facility", "material_clean", "product_header",
                     "catalogue_segments", "catalogue_union", "monthly_sku_sales", "sourcing_report")
 
-SCORECARD_KEYS = ("order_extract", "working_days", "vendor_dispatch", "vendor_quality", "vendor_ratings",
+SCORECARD_KEYS = ("order_extract", "order_extract_items", "working_days", "vendor_dispatch", "vendor_quality", "vendor_ratings",
                   "vendor_assortment", "vendor_spine", "vendor_scorecard")
 
 

@@ -56,7 +56,11 @@ def build_marketplace(t: dict[str, DataFrame], ros: P.RateOfSaleParams = P.RateO
     d.define("facility_dim", lambda: shipping.facility_dim(d["shipment_facts"]))
 
     d.define("pnl_lines", lambda: pnl.pnl_lines(d["sales_mart"], pnl_params))
-    d.define("pnl_cost_lines", lambda: pnl.pnl_cost_lines(d["pnl_lines"], d["shipping_ledger"], pnl_params))
+    # P&L needs the ledger's charges and how often each stands there, not its facts: the mart is built once.
+    d.define("parcel_charges", lambda: shipping.parcel_charges(
+        d["carrier_union"], shipping.parcels(d["sales"], t["pincodes"])))
+    d.define("pnl_cost_lines", lambda: pnl.pnl_cost_lines(d["pnl_lines"], d["parcel_charges"], pnl_params))
+    d.define("pnl_cost_lines_by_awb", lambda: pnl.pnl_cost_lines(d["pnl_lines"], d["carrier_union"], pnl_params, one_charge=True))
     d.define("pnl_month_facility", lambda: pnl.pnl_month_facility(d["pnl_cost_lines"], pnl_params))
 
     d.define("metafields", lambda: sourcing.prepare_metafields(t["metafields"]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vendorlytics import params as P
 from vendorlytics.functions.expr import first_match
+from vendorlytics.operators.grain import join_one, summed
 
 LINE_KEYS = ("Month", "Facility", "OrderNo", "CODFlag", "AWB")
 # Amounts derived by division are kept as exact decimals from the line on, so
@@ -42,13 +43,21 @@ def pnl_lines(mart: DataFrame, p: P.PnlParams = P.PnlParams()) -> DataFrame:
                  F.sum(first_match(rules)).alias("PackagingCost")))
 
 
-def pnl_cost_lines(lines: DataFrame, ledger: DataFrame, p: P.PnlParams = P.PnlParams()) -> DataFrame:
+def pnl_cost_lines(lines: DataFrame, ledger: DataFrame, p: P.PnlParams = P.PnlParams(),
+                   one_charge: bool = False) -> DataFrame:
     """Lines with COD cost (carrier charge; else the COD fee rate on
     LP - discount + COD charges net of tax for COD orders; else 0 for prepaid)
     and shipping cost (carrier charge, else the flat rate).  Several charge rows
-    for one AWB fan the line out, as in the original."""
+    for one AWB fan the line out, as in the original.
+
+    ``ledger`` is the shipping ledger or any table with AWB, CODCost and ShippingCharge.
+    With ``one_charge`` its rows are the carriers' charges, summed per AWB first: every
+    line stays one row and meets the AWB's whole charge."""
     charges = ledger.select("AWB", F.col("CODCost").alias("_cod_cost"), F.col("ShippingCharge").alias("_ship"))
-    j = lines.join(charges, "AWB", "left")
+    if one_charge:
+        j = join_one(lines, summed(charges, ["AWB"], ["_cod_cost", "_ship"]), ["AWB"])
+    else:
+        j = lines.join(charges, "AWB", "left")
     net = F.col("LP") - F.col("Discount") + F.col("CODCharges")
     # Operands narrowed so that Spark keeps the exact product (a product wider
     # than 38 digits would be rounded to 6 decimals).

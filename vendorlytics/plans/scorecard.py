@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorlytics import params as P
@@ -36,10 +36,16 @@ def _utc_bounds(p: P.ScorecardParams) -> tuple[str, str]:
     return (lo - off).strftime("%Y-%m-%d %H:%M:%S"), (hi - off).strftime("%Y-%m-%d %H:%M:%S")
 
 
+def _first_link(links: DataFrame, id_col: str, out: str) -> DataFrame:
+    """``links`` with a flag on each item's first link by id."""
+    turn = F.row_number().over(Window.partitionBy("_item_id").orderBy(F.col(id_col).asc_nulls_last()))
+    return links.withColumn(out, turn == 1)
+
+
 def order_extract(orders: DataFrame, order_items: DataFrame, product_variants: DataFrame,
                   products: DataFrame, suppliers: DataFrame, return_items: DataFrame,
                   returns: DataFrame, shipping_order_items: DataFrame, shipping_packages: DataFrame,
-                  p: P.ScorecardParams = P.ScorecardParams()) -> DataFrame:
+                  p: P.ScorecardParams = P.ScorecardParams(), dedupe_items: bool = False) -> DataFrame:
     """Order-item extract at (month, day, dispatch day, order, vendor,
     tracking no., mistake flag, reason, status) grain with summed LP and CP.
 
@@ -79,6 +85,13 @@ def order_extract(orders: DataFrame, order_items: DataFrame, product_variants: D
     item_packages = shipping_order_items.select(F.col("order_item_id").alias("_item_id"),
                                                 F.col("shipping_package_id").alias("_package_id"))
 
+    lp, cp = F.col("_lp"), F.col("_cp")
+    if dedupe_items:
+        item_returns = _first_link(item_returns, "_return_id", "_first_return")
+        item_packages = _first_link(item_packages, "_package_id", "_first_package")
+        once = F.coalesce("_first_return", F.lit(True)) & F.coalesce("_first_package", F.lit(True))
+        lp, cp = F.when(once, lp), F.when(once, cp)
+
     fact = (oi.join(o, "_order_id", "inner")
             .join(variant_vendor, "_variant_id", "left")
             .join(item_returns, "_item_id", "left")
@@ -102,7 +115,7 @@ def order_extract(orders: DataFrame, order_items: DataFrame, product_variants: D
                 mistake.alias("manufacturer_mistake"),
                 "return_reason",
                 status.alias("order_status"),
-                "_lp", "_cp")
+                lp.alias("_lp"), cp.alias("_cp"))
     return (rows.groupBy("order_mnt", "order_dt", "dispatch_dt", "order_no", "display_name", "tracking_number",
                          "manufacturer_mistake", "return_reason", "order_status")
             .agg(sum_money(rows, "_lp").alias("lp"), sum_money(rows, "_cp").alias("cp")))
@@ -239,6 +252,9 @@ def build_scorecard(t: dict[str, DataFrame], p: P.ScorecardParams = P.ScorecardP
     d.define("order_extract", lambda: order_extract(
         t["orders"], t["order_items"], t["product_variants"], t["products"], t["suppliers"], t["return_items"],
         t["returns"], t["shipping_order_items"], t["shipping_packages"], p), shared=True)
+    d.define("order_extract_items", lambda: order_extract(
+        t["orders"], t["order_items"], t["product_variants"], t["products"], t["suppliers"], t["return_items"],
+        t["returns"], t["shipping_order_items"], t["shipping_packages"], p, dedupe_items=True))
     d.define("working_days", lambda: dispatch_working_days(d["order_extract"], t["calendar_h"], p))
     d.define("vendor_dispatch", lambda: vendor_dispatch(d["order_extract"], d["working_days"]))
     d.define("vendor_quality", lambda: vendor_quality(d["order_extract"]))

@@ -45,6 +45,24 @@ def shipment_facts(mart: DataFrame) -> DataFrame:
             .agg(sum_money(mart, "SellingPrice").alias("SellingPrice")))
 
 
+def parcels(lines: DataFrame, pincodes: DataFrame) -> DataFrame:
+    """The keys of ``shipment_facts`` alone, one row each, from the typed sales lines: none
+    of them needs the mart's claims, totals or other lookups."""
+    pin = pincodes.select(F.col("Pincode").alias("ShippingAddressPincode"), "State", "District")
+    keys = ("AWB", "Facility", "OrderDate", "ShippingProvider", "ShippingAddressPincode")
+    known = lines.where(F.col("AWB").isNotNull()).select(*keys).distinct()
+    return known.join(pin, "ShippingAddressPincode", "left").distinct()
+
+
+def parcel_charges(charges: DataFrame, parcel: DataFrame) -> DataFrame:
+    """The ledger's rows with its charge columns only (AWB, CODCost, ShippingCharge): a
+    charge once for each parcel row of its AWB, at least once."""
+    rows = parcel.groupBy("AWB").agg(F.count(F.lit(1)).alias("_n"))
+    times = F.sequence(F.lit(1).cast("long"), F.coalesce("_n", F.lit(1)))
+    return (charges.select("AWB", "CODCost", "ShippingCharge").join(rows, "AWB", "left")
+            .withColumn("_times", times).withColumn("_k", F.explode("_times")).drop("_n", "_times", "_k"))
+
+
 def shipping_ledger(charges: DataFrame, facts: DataFrame) -> DataFrame:
     """Every carrier charge row with its shipment facts (a parcel with
     several fact rows fans out, as in the original) and a charge type:
