@@ -74,3 +74,47 @@ def test_scorecard_job_leaves_no_extract_behind(spark):
     jobs.run_scorecard(spark, f"{work}/in", f"{work}/card", p=TEST_SCORECARD)
     left = os.listdir(checkpoint_dir(spark).removeprefix("file:"))
     assert not [x for x in left if x.startswith("vendorlytics-scorecard-")]
+
+
+def _changed_inputs(spark, base, work):
+    """A later state of the inputs: late returns, new and corrected lines, a customer's first
+    order cancelled, and a month whose lines are all gone."""
+    from pyspark.sql import functions as F
+
+    lines = spark.read.parquet(f"{base}/sales_items")
+    returns = spark.read.parquet(f"{base}/returns")
+    late = returns.where(F.col("Order Number").isNotNull() & (F.pmod(F.xxhash64("Order Number"), F.lit(40)) == 0))
+    first = lines.where("BillingAddressPhone IS NOT NULL").groupBy("BillingAddressPhone").agg(F.min("OrderDate").alias("d")) \
+        .orderBy("BillingAddressPhone").limit(3)
+    firsts = [(r.BillingAddressPhone, r.d) for r in first.collect()]
+    gone = lines.agg(F.min(F.date_format("OrderDate", "yyyy-MM"))).first()[0]
+    cancelled = F.lit(False)
+    for phone, day in firsts:
+        cancelled = cancelled | ((F.col("BillingAddressPhone") == phone) & (F.col("OrderDate") == F.lit(day)))
+    old = lines.where(~F.col("SaleOrderItemCode").endswith("77"))  # these come only with the later state
+    new = lines.where(F.date_format("OrderDate", "yyyy-MM") != gone).withColumn(
+        "SaleOrderStatus", F.when(cancelled, "CANCELLED").otherwise(F.col("SaleOrderStatus")))
+    for name in schemas.SPREADSHEET_TABLES:
+        df = spark.read.parquet(f"{base}/{name}")
+        sinks.write_table({"sales_items": old, "returns": returns.exceptAll(late)}.get(name, df), f"{work}/before/{name}")
+        sinks.write_table({"sales_items": new}.get(name, df), f"{work}/after/{name}")
+    return gone
+
+
+def test_update_equals_the_full_run_and_rebuilds_the_touched_months(spark):
+    work = tempfile.mkdtemp(prefix="vl-job-")
+    _stage(spark, sales_tables(DriverTables(spark, SF_SMALL)), schemas.SPREADSHEET_TABLES, f"{work}/in")
+    gone = _changed_inputs(spark, f"{work}/in", work)
+    args = dict(ros=TEST_ROS, pnl_params=TEST_PNL, src=TEST_SOURCING)
+    paths = jobs.run_marketplace(spark, f"{work}/before", f"{work}/out", **args)
+    was = {x for x in os.listdir(paths["uc_mod"]) if x.startswith("Month=")}
+    kept = {m: sorted(os.listdir(f"{paths['uc_mod']}/{m}")) for m in was}
+    months = jobs.run_marketplace_update(spark, f"{work}/after", f"{work}/before", f"{work}/out", **args)
+    fresh = jobs.run_marketplace(spark, f"{work}/after", f"{work}/fresh", **args)
+    for name in jobs.MARKETPLACE_OUTPUTS:
+        assert _bag(spark.read.parquet(paths[name])) == _bag(spark.read.parquet(fresh[name])), name
+    assert gone in months and f"Month={gone}" not in os.listdir(paths["uc_mod"])
+    untouched = {m for m in was if m.removeprefix("Month=") not in months}
+    assert untouched and len(months) < len(was)
+    assert {m: sorted(os.listdir(f"{paths['uc_mod']}/{m}")) for m in untouched} == {m: kept[m] for m in untouched}
+    assert jobs.run_marketplace_update(spark, f"{work}/after", f"{work}/after", f"{work}/out", **args) == []

@@ -116,3 +116,54 @@ def test_unreadable_sheet_timestamp_fails_and_blank_is_null(spark):
     assert got[0] == got[1] and got[2:] == [None, None]
     with pytest.raises(Exception, match="unreadable timestamp in t: soon"):
         spark.createDataFrame([("soon",)], "t string").select(sheet_timestamp("t")).collect()
+
+
+def test_text_predicates_are_disjoint_and_complete():
+    import duckdb
+
+    keys = ["", "a", "a'b", "B", "b", "it's", "z", "é", "日", "10", "9", None, "a", None]
+    con = duckdb.connect()
+    con.execute('CREATE TABLE t("my ""key" VARCHAR)')
+    con.executemany("INSERT INTO t VALUES (?)", [(k,) for k in keys])
+    for parts in (1, 2, 3, 5, 40):
+        wheres = readers.text_predicates('my "key', readers.text_bounds(keys, parts))
+        assert len(wheres) <= parts
+        found = [con.execute(f'SELECT "my ""key" FROM t WHERE {w}').fetchall() for w in wheres]
+        assert sorted((r[0] for rows in found for r in rows), key=str) == sorted(keys, key=str)
+    # Bounds that the database orders otherwise still cover every key once.
+    wheres = readers.text_predicates('my "key', ["z", "a", "é"])
+    n = [con.execute(f"SELECT count(*) FROM t WHERE {w}").fetchone()[0] for w in wheres]
+    assert readers.text_predicates("k", []) == ["1 = 1"] and sum(n) == len(keys)
+
+
+def test_jdbc_by_text_reads_one_range_a_connection(monkeypatch):
+    asked = {}
+
+    class Session:
+        class read:
+            @staticmethod
+            def jdbc(url, table, predicates, properties):
+                asked.update(url=url, table=table, predicates=predicates, properties=properties)
+
+    monkeypatch.setattr(readers, "conform", lambda df, schema: df)
+    readers.read_jdbc_by_text(Session(), "order_items", schemas.ORDER_ITEMS, {"url": "jdbc:x", "user": "u"}, "id", ["k", "p"])
+    assert asked == {"url": "jdbc:x", "table": "order_items", "properties": {"user": "u"},
+                     "predicates": ["(\"id\" < 'k' OR \"id\" IS NULL)", "\"id\" >= 'k' AND \"id\" < 'p'", "\"id\" >= 'k' AND \"id\" >= 'p'"]}
+
+
+def test_rejects_add_up_and_fail_on_a_rate(spark):
+    from vendorlytics.sources.rejects import ingest, split_rejects
+
+    data = [("O1", "a", "3", "x"), ("O2", "a", " ", None), ("O3", None, "three", "x"), ("O4", "b", "4 ", ""), ("O5", "c", "1e", "y"), (None, None, None, None)]
+    raw = spark.createDataFrame(data, "`Order Number` string, SKU string, QNT string, `VV Reason` string")
+    good, bad = split_rejects(raw, schemas.RETURNS)
+    assert [f.dataType for f in good.schema.fields] == [f.dataType for f in schemas.RETURNS.fields]
+    assert sorted((r["Order Number"] or "", r.QNT) for r in good.collect()) == [("", None), ("O1", 3), ("O2", None), ("O4", 4)]
+    assert sorted((r.faults[0]["column"], r.faults[0]["text"]) for r in bad.collect()) == [("QNT", "1e"), ("QNT", "three")]
+    path = os.path.join(tempfile.mkdtemp(prefix="vl-test-"), "returns")
+    ok, out = ingest(raw, schemas.RETURNS, path, max_share=0.4)
+    assert ok.count() + out.count() == len(data) and out.count() == 2 and ok.columns == good.columns
+    with pytest.raises(ValueError, match="2 of 6 rows"):
+        ingest(raw, schemas.RETURNS, path, max_share=0.3)
+    empty_ok, empty_out = ingest(raw.limit(0), schemas.RETURNS, path)
+    assert empty_ok.count() == empty_out.count() == 0

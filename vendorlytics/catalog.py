@@ -21,7 +21,9 @@ from vendorlytics.catalog_params import TEST_PNL, TEST_ROS, TEST_SCORECARD, TEST
 from vendorlytics.plans import sales, scorecard, shipping
 from vendorlytics.plans.marketplace import build_marketplace
 from vendorlytics.plans.sales import lifecycle_status
-from vendorlytics.sources.proxies import sales_tables, scorecard_tables
+from vendorlytics.sources.proxies import sales_items_text, sales_tables, scorecard_tables
+from vendorlytics.sources.rejects import split_rejects
+from vendorlytics.sources.schemas import SALES_ITEMS
 from vendorlytics.sources.testdata import DriverTables
 
 
@@ -64,6 +66,14 @@ def _marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     d.define("locf_fill", lambda: sales.clean_catalogue(t["catalogue"]).select(
         "pos", "Handle", "Variant SKU", "Type", "Vendor"))
 
+    def rejects() -> DataFrame:
+        _, bad = split_rejects(sales_items_text(t["sales_items"]), SALES_ITEMS)
+        code = F.get_json_object("text", "$.SaleOrderItemCode")
+        return bad.select(code.alias("SaleOrderItemCode"), F.explode("faults").alias("_f")).select(
+            "SaleOrderItemCode", F.col("_f.column").alias("Column"), F.col("_f.text").alias("Text"))
+
+    d.define("sales_rejects", rejects)
+
     def normalised() -> DataFrame:
         parts = [shipping.normalise_charges(t[f"carrier_{c.lower()}"], cols).withColumn("Carrier", F.lit(c))
                  for c, cols in (("A", shipping.CARRIER_A), ("B", shipping.CARRIER_B), ("C", shipping.CARRIER_C))]
@@ -73,7 +83,7 @@ def _marketplace(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return d
 
 
-MARKETPLACE_KEYS = ("sales_ingest", "locf_fill", "sku_catalogue", "return_claims", "return_allocation",
+MARKETPLACE_KEYS = ("sales_ingest", "sales_rejects", "locf_fill", "sku_catalogue", "return_claims", "return_allocation",
                     "lifecycle_status", "first_order_month", "order_totals", "sales_mart", "rate_of_sale",
                     "category_revenue", "active_listing", "launch_month_revenue", "carrier_normalise",
                     "carrier_union", "shipment_facts", "shipping_ledger", "facility_dim", "pnl_lines",

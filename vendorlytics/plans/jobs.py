@@ -2,6 +2,7 @@
 outputs (full recompute, overwrite).
 
     python -m vendorlytics.plans.jobs marketplace --input BASE --output OUT
+    python -m vendorlytics.plans.jobs update --input NEW --previous BASE --output OUT
     python -m vendorlytics.plans.jobs scorecard --input BASE --output OUT --month 2023-10
 
 The sales mart feeds five outputs.  It is written first and read back, which
@@ -17,7 +18,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 from vendorlytics import params as P
-from vendorlytics.plans import listing, pnl, scorecard, shipping, sourcing
+from vendorlytics.operators.heavy import heavy_keys
+from vendorlytics.plans import listing, pnl, recompute, scorecard, shipping, sourcing
 from vendorlytics.plans.marketplace import build_marketplace
 from vendorlytics.session import build_session, checkpoint_dir
 from vendorlytics.sources import readers, schemas, sinks
@@ -25,19 +27,64 @@ from vendorlytics.sources import readers, schemas, sinks
 # Output table names of the spreadsheet pipeline (fixed values).
 MARKETPLACE_OUTPUTS = ("uc_mod", "ros", "PnL", "ship_chrg", "sourcing", "cat_1", "cat_2", "calendar",
                        "facility_map")
+# Keys of the sales lines that may be heavy: order, SKU, phone, pincode.
+HEAVY_COLUMNS = ("DisplayOrderCode", "SellerSKU", "BillingAddressPhone", "ShippingAddressPincode")
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def run_marketplace(spark: SparkSession, input_base: str, output_base: str, fmt: str = "parquet",
                     ros: P.RateOfSaleParams = P.RateOfSaleParams(), pnl_params: P.PnlParams = P.PnlParams(),
                     src: P.SourcingParams = P.SourcingParams()) -> dict[str, str]:
     t = readers.read_tables(spark, input_base, schemas.SPREADSHEET_TABLES, fmt)
-    d = build_marketplace(t, ros, pnl_params, src)
+    d = build_marketplace(t, ros, pnl_params, src, heavy=heavy_keys(t["sales_items"], HEAVY_COLUMNS))
     out = output_base.rstrip("/")
     paths = {name: f"{out}/{name}" for name in MARKETPLACE_OUTPUTS}
 
     sinks.write_table(d["sales_mart"], paths["uc_mod"], partition_by=("Month",))
-    mart = spark.read.parquet(paths["uc_mod"]).select(*d["sales_mart"].columns)  # not the partition column last
+    _write_derived(spark, t, d, paths, ros, pnl_params, src)
+    return paths
+
 
+def run_marketplace_update(spark: SparkSession, input_base: str, previous_base: str, output_base: str, fmt: str = "parquet",
+                           ros: P.RateOfSaleParams = P.RateOfSaleParams(), pnl_params: P.PnlParams = P.PnlParams(),
+                           src: P.SourcingParams = P.SourcingParams()) -> list[str | None]:
+    """Bring the outputs of a run over ``previous_base`` up to date with ``input_base``, where
+    only sales lines and returns differ.  Of the mart, only the months that the change touches
+    are computed and replaced (``plans.recompute``); the tables derived from it are small
+    and written anew.  Returns the months rebuilt (one entry per calendar month at most)."""
+    t = readers.read_tables(spark, input_base, schemas.SPREADSHEET_TABLES, fmt)
+    before = readers.read_tables(spark, previous_base, schemas.SPREADSHEET_TABLES, fmt)
+    heavy = heavy_keys(t["sales_items"], HEAVY_COLUMNS)
+    d, old = build_marketplace(t, ros, pnl_params, src, heavy=heavy), build_marketplace(before, ros, pnl_params, src)
+    out = output_base.rstrip("/")
+    paths = {name: f"{out}/{name}" for name in MARKETPLACE_OUTPUTS}
+    months = [r.Month for r in recompute.affected_months(
+        old["sales"], d["sales"], old["return_claims"], d["return_claims"], t["calendar"]).collect()]
+    if months:
+        rebuilt = recompute.rebuild_months(d["sales"], d["return_claims"], t["listing_master"], t["calendar"], t["pincodes"],
+                                           d["sku_catalogue"], t["subcat_map"], months, heavy=heavy)
+        # Computed once into a folder of its own: its partitions tell which months are empty now.
+        stage = f"{checkpoint_dir(spark)}/vendorlytics-months-{uuid.uuid4().hex}/uc_mod"
+        sinks.write_table(rebuilt, stage, partition_by=("Month",))
+        staged = spark.read.schema(rebuilt.schema).parquet(stage)
+        left = {r.Month for r in staged.select("Month").distinct().collect()}
+        sinks.write_table(staged, paths["uc_mod"], partition_by=("Month",), only_partitions=True)
+        for month in set(months) - left:
+            _delete(spark, f"{paths['uc_mod']}/Month={month if month is not None else NULL_PARTITION}")
+        _delete(spark, stage.rpartition("/")[0])
+        _write_derived(spark, t, d, paths, ros, pnl_params, src)
+    return sorted(months, key=lambda m: (m is not None, m))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write_derived(spark: SparkSession, t, d, paths: dict[str, str], ros: P.RateOfSaleParams, pnl_params: P.PnlParams,
+                   src: P.SourcingParams) -> None:
+    """The outputs that follow from the written mart and the sheets."""
+    mart = spark.read.schema(d["sales_mart"].schema).parquet(paths["uc_mod"])
     cal = t["calendar"]
     catalogue = d["catalogue"]
     uc_cat = listing.category_revenue(mart, cal)
@@ -60,7 +107,6 @@ def run_marketplace(spark: SparkSession, input_base: str, output_base: str, fmt:
                       paths["cat_2"])
     sinks.write_table(cal, paths["calendar"])
     sinks.write_table(shipping.facility_dim(facts), paths["facility_map"])
-    return paths
 
 
 def run_scorecard(spark: SparkSession, input_base: str, output_path: str, fmt: str = "parquet",
@@ -87,14 +133,14 @@ def run_scorecard(spark: SparkSession, input_base: str, output_path: str, fmt: s
     # One row per (month, vendor): bounded by the vendor count, one file.
     sinks.write_tsv(card, output_path, single_file=True)
     if work_path is None:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(extract_path).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, extract_path.rpartition("/")[0])
     return output_path
 
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="vendorlytics")
-    ap.add_argument("job", choices=("marketplace", "scorecard"))
+    ap.add_argument("job", choices=("marketplace", "update", "scorecard"))
+    ap.add_argument("--previous", help="update: the inputs of the run whose output is brought up to date")
     ap.add_argument("--input", required=True)
     ap.add_argument("--output", required=True)
     ap.add_argument("--format", default="parquet")
@@ -104,6 +150,10 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session(app=f"vendorlytics-{args.job}")
     if args.job == "marketplace":
         run_marketplace(spark, args.input, args.output, args.format)
+    elif args.job == "update":
+        if not args.previous:
+            ap.error("update needs --previous")
+        run_marketplace_update(spark, args.input, args.previous, args.output, args.format)
     else:
         p = P.ScorecardParams(month_from=args.month, month_to=args.month) if args.month else P.ScorecardParams()
         run_scorecard(spark, args.input, args.output, args.format, p)

@@ -6,7 +6,7 @@ the scan (``PushedFilters`` / ``ReadSchema`` in ``explain``).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +82,39 @@ def read_jdbc_table(spark: SparkSession, table: str, schema: T.StructType, optio
     return conform(reader.load(), schema)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def text_bounds(sample: Sequence[str | None], parts: int) -> list[str]:
+    """At most ``parts - 1`` distinct cut values, at regular places of a sorted sample of a
+    text key (e.g. one page of its index)."""
+    known = sorted(k for k in sample if k is not None)
+    return sorted({known[i * len(known) // parts] for i in range(1, parts)} - {known[0]}) if known else []
+
+
+def text_predicates(column: str, bounds: Sequence[str], quote: str = '"') -> list[str]:
+    """One WHERE condition per range of a text key.  Every key meets exactly one of them,
+    NULL the first, whatever the database's collation: each bound closes one range and opens
+    the next under the same comparison, and bounds are re-ordered by nobody."""
+    name = quote + column.replace(quote, quote * 2) + quote
+    if not bounds:
+        return ["1 = 1"]
+    cuts = [_quoted(b) for b in bounds]
+    first = f"({name} < {cuts[0]} OR {name} IS NULL)"
+    last = " AND ".join(f"{name} >= {c}" for c in cuts)
+    middle = [" AND ".join([*(f"{name} >= {c}" for c in cuts[:i]), f"{name} < {cuts[i]}"]) for i in range(1, len(cuts))]
+    return [first, *middle, last]
+
+
+def read_jdbc_by_text(spark: SparkSession, table: str, schema: T.StructType, options: Mapping[str, str], column: str,
+                      bounds: Sequence[str], quote: str = '"') -> DataFrame:
+    """A whole table whose key is text, one connection per range of ``text_predicates``."""
+    more = dict(options)
+    url = more.pop("url")
+    return conform(spark.read.jdbc(url, table, predicates=text_predicates(column, bounds, quote), properties=more), schema)
+
+
 def read_jdbc_query(spark: SparkSession, query: str, options: Mapping[str, str]) -> DataFrame:
     """A query run by the database (its result read back in one stream).
     Prefer ``read_jdbc_table`` + Spark joins for anything large."""
