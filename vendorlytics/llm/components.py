@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorlytics.llm.storage import drop, stored
@@ -102,9 +102,13 @@ def connect(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     (bucket, rep, label, size), to ``compare``, which returns the pairs of
     different labels that may be linked (see ``meetings``).
     """
-    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count("*").alias("size")) \
-        .where("centre != last").select("bucket", "centre", "size")
-    shared = stored(buckets.join(centres, "bucket").select("bucket", "rep", "centre", "size").distinct(), "buckets")
+    # Dealt by bucket once: repeated rows go, then each bucket's rows learn its least and
+    # last rep and its size, and buckets of one rep go.
+    of = Window.partitionBy("bucket")
+    held = buckets.repartition("bucket").distinct().select(
+        "bucket", "rep", F.min("rep").over(of).alias("centre"), F.max("rep").over(of).alias("last"),
+        F.count("*").over(of).alias("size"))
+    shared = stored(held.where("centre != last").drop("last"), "buckets")
     pairs = stored(shared.where("rep != centre").select(
         F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(confirm(pairs), "links")

@@ -39,6 +39,7 @@ from vendorlytics.llm.text import SPACES, hash_spans, mix, slices, span_sums, te
 EDITS = 2
 NEAR = 24
 BLOCK, CELLS = 256, 128
+FILED = 1 << 20
 OCCURRENCE = "ord long, k long, no int"
 
 
@@ -97,13 +98,19 @@ def shifts(i: int, more: int, edits: int) -> range:
 
 
 def buckets(docs: DataFrame, edits: int = EDITS, near: int = NEAR) -> DataFrame:
-    """(bucket, rep): where each line is filed, rep being its hash."""
+    """(bucket, rep): where each line is filed, rep being its hash.  A task files a line
+    again only when it has met ``FILED`` others since."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filed = np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):
                 x = Lines(part.column("text"))
                 lines, which = np.unique(x.hash, return_index=True)
+                at = np.searchsorted(filed, lines)
+                fresh = filed[np.minimum(at, len(filed) - 1)] != lines if len(filed) else np.ones(len(lines), bool)
+                lines, which = lines[fresh], which[fresh]
+                filed = np.sort(np.concatenate([filed, lines])) if len(filed) < FILED else lines
                 point = np.flatnonzero((x.data & 0xC0) != 0x80)  # bytes that begin a character
                 begin = np.searchsorted(point, x.begin[which])
                 length = np.searchsorted(point, x.end[which]) - begin
@@ -178,16 +185,16 @@ def _meeting(rows: pa.Table, edits: int) -> pa.RecordBatch:
     return pair_batch(a, b)
 
 
-def without(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines whose numbers are in ``gone`` left out of ``text``,
-    ``n_lines`` and ``n_removed`` added, ``gone`` dropped."""
-    names = [c for c in docs.columns if c != "gone"]
+def without(docs: DataFrame, gone_col: str) -> DataFrame:
+    """``docs`` with the lines whose numbers are in ``gone_col`` left out of ``text``,
+    ``n_lines`` and ``n_removed`` added, ``gone_col`` dropped."""
+    names = [c for c in docs.columns if c != gone_col]
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_removed", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, cut = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(gone_col).to_pylist()):
                 lines = (text or "").split("\n")
                 drop_ = set(gone or ())
                 texts.append("\n".join([x for i, x in enumerate(lines) if i not in drop_]) if drop_ else text)
@@ -236,8 +243,13 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, near: int = NEAR) -> DataFr
         F.count_if("near").alias("n_near"))  # at most a text's lines
     judged = stored(judged, "lines-to-remove")
     drop(found)
-    k = docs.withColumn("_ord", F.coalesce("doc_id", F.lit(-2**63))).withColumn("_k", F.xxhash64("text"))
-    d, j = k.alias("d"), judged.alias("j")
-    joined = d.join(j, [F.col("d._ord") == F.col("j.ord"), F.col("d._k") == F.col("j.k")], "left").select(
-        *(F.col(f"d.`{c}`") for c in others), "d.text", F.coalesce("j.n_near", F.lit(0)).alias("n_near"), "j.gone")
-    return without(joined)
+    # Names that no column of ``docs`` has.
+    free = "_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    ord_, k, gone = (free + n for n in ("ord", "k", "gone"))
+    d = docs.withColumn(ord_, F.coalesce("doc_id", F.lit(-2**63))).withColumn(k, F.xxhash64("text"))
+    j = judged.select(F.col("ord").alias(ord_), F.col("k").alias(k), F.col("gone").alias(gone), F.col("n_near").alias(free + "near"))
+    joined = d.join(j, [ord_, k], "left").select(
+        *(F.col(f"`{c}`") for c in others), "text", F.coalesce(free + "near", F.lit(0)).alias("n_near"), gone)
+    return without(joined, gone)
