@@ -14,7 +14,8 @@ of the id; ids whose crc32 modulo 4 is 2 are never learned from.  Scores use the
 text alone.
 
 Defined results: a null, empty or wordless text gets the score of no evidence; a
-document with several labels is toxic if one is 1; null labels are ignored;
+document with several labels is toxic if one is 1; null labels are ignored; of different
+texts that share a labelled id, one is learned from;
 without labelled documents of both classes every score is next to 0; repeated rows each
 get their result; other columns are ignored.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vendorlytics.llm.crf import Chains, observed_transitions
-from vendorlytics.llm.storage import stored
+from vendorlytics.llm.storage import drop, stored
 from vendorlytics.llm.text import LOWER, Words, doc_of, hash_spans, mix, slices, span_sums, text_bytes, tidied
 
 SAMPLE = 4000
@@ -119,37 +120,58 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.curve, -30, 30)))
 
 
-def token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens the documents' labels mark as toxic."""
-    doc = doc_of(tokens.first, np.arange(len(tokens.form)))
-    pairs = np.unique(doc.astype(np.int64) * len(tokens.features) + tokens.form)  # forms of each document
-    d, form = pairs // len(tokens.features), pairs % len(tokens.features)
-    marked = np.zeros(len(tokens.features), bool)
-    rate = toxic.mean()
-    for k in range(tokens.features.shape[1] - 1):  # not by last letters
-        names, which = np.unique(tokens.features[:, k], return_inverse=True)
-        seen = np.unique(d * len(names) + which[form])
-        name, in_toxic = seen % len(names), toxic[seen // len(names)]
-        b = np.bincount(name, minlength=len(names))
-        a = np.bincount(name, weights=in_toxic, minlength=len(names))
-        share = a / np.maximum(b, 1)
+class Sample:
+    """Labelled documents as token forms: token t of document d is one of
+    ``form[first[d]:first[d + 1]]``, a row of ``features``."""
+
+    def __init__(self, form: np.ndarray, first: np.ndarray, features: np.ndarray, toxic: np.ndarray, weight: np.ndarray):
+        self.form, self.first, self.features, self.toxic, self.weight = form, first, features, toxic, weight
+
+    def part(self, docs: np.ndarray) -> Sample:
+        sizes = np.diff(self.first)[docs]
+        first = np.append(0, np.cumsum(sizes))
+        at = np.repeat(self.first[docs] - first[:-1], sizes) + np.arange(first[-1])
+        return Sample(self.form[at], first, self.features, self.toxic[docs], self.weight[docs])
+
+    def slots(self) -> np.ndarray:
+        return (self.features >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def token_labels(sample: Sample) -> np.ndarray:
+    """Which tokens the documents' labels mark as toxic.  Shares and rates count every
+    document by its weight, so they estimate those of all labelled documents however
+    many were drawn; the evidence counts the documents drawn."""
+    toxic, weight, form, features = sample.toxic, sample.weight, sample.form, sample.features
+    doc = doc_of(sample.first, np.arange(len(form)))
+    pairs = np.unique(doc.astype(np.int64) * len(features) + form)  # forms of each document
+    d, form_of = pairs // len(features), pairs % len(features)
+    marked = np.zeros(len(features), bool)
+    rate = weight[toxic].sum() / weight.sum()
+    for k in range(features.shape[1] - 1):  # not by last letters
+        names, which = np.unique(features[:, k], return_inverse=True)
+        seen = np.unique(d * len(names) + which[form_of])
+        name, by = seen % len(names), seen // len(names)
+        n = np.bincount(name, minlength=len(names))
+        b = np.bincount(name, weights=weight[by], minlength=len(names))
+        a = np.bincount(name, weights=weight[by] * toxic[by], minlength=len(names))
+        share = a / np.where(b > 0, b, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = 2 * (np.where(a > 0, a * np.log(share / rate), 0)
-                         + np.where(b > a, (b - a) * np.log((1 - share) / (1 - rate)), 0))
+            ratio = 2 * n * (np.where(share > 0, share * np.log(share / rate), 0)
+                             + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0))
         marked |= ((ratio >= EVIDENCE) & (share >= SHARE))[which]
-    return marked[tokens.form] & toxic[doc]
+    return marked[sample.form] & toxic[doc]
 
 
-def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Tagger:
+def fit(sample: Sample) -> Tagger:
     """Fit the field on the even documents and the curve on the odd ones."""
-    tagger = Tagger()
+    tagger, toxic = Tagger(), sample.toxic
     if toxic.all() or not toxic.any():
         tagger.curve[0] = -np.inf
         return tagger
-    half = np.arange(len(texts)) % 2 == 0
-    tokens = Tokens(pa.array([t for t, h in zip(texts, half) if h], pa.string()))
-    labels = token_labels(tokens, toxic[half]).astype(np.int64)
-    slots, n = tokens.slots(), len(tokens.first) - 1
+    half = np.arange(len(toxic)) % 2 == 0
+    seen, slots = sample.part(np.flatnonzero(half)), sample.slots()
+    labels = token_labels(seen).astype(np.int64)
+    n = len(seen.toxic)
     squares = np.full(1 << BITS, 1e-6)
     moves, opening = np.full((2, 2), 1e-6), 1e-6
     order = np.random.default_rng(0)
@@ -157,10 +179,10 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Tagger:
         shuffled = order.permutation(n)
         for at in range(0, n, BATCH):
             docs = np.sort(shuffled[at:at + BATCH])
-            sizes = np.diff(tokens.first)[docs]
+            sizes = np.diff(seen.first)[docs]
             first = np.append(0, np.cumsum(sizes))
-            mine = np.repeat(tokens.first[docs] - first[:-1], sizes) + np.arange(first[-1])
-            form, y = tokens.form[mine], labels[mine]
+            mine = np.repeat(seen.first[docs] - first[:-1], sizes) + np.arange(first[-1])
+            form, y = seen.form[mine], labels[mine]
             e = tagger.weights[slots[form]].sum(1)
             p, expected = Chains(first).run(e, np.exp(tagger.transition), tagger.start)
             scale = 1 / len(docs)
@@ -176,9 +198,13 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Tagger:
             g = float((y[some] - p[some]).sum()) * scale
             opening += g * g
             tagger.start = float(np.clip(tagger.start + RATE * g / np.sqrt(opening), -8, 8))
-    rest = Tokens(pa.array([t for t, h in zip(texts, half) if not h], pa.string()))
-    x = tagger.evidence(rest, tagger.marginals(rest))
-    tagger.curve = logistic(x, toxic[~half].astype(float), weight[~half])
+    odd = np.flatnonzero(~half)
+    x = []
+    for at in range(0, len(odd), BATCH):  # in slices: the messages of all at once would be large
+        part = sample.part(odd[at:at + BATCH])
+        x.append(tagger.evidence(part, tagger.marginals(part)))
+    x = np.concatenate(x) if x else np.zeros((0, 3))
+    tagger.curve = logistic(x, toxic[odd].astype(float), sample.weight[odd])
     return tagger
 
 
@@ -194,8 +220,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return c
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """Fit on at most about ``sample`` labelled documents of each class."""
+def drawn_labels(labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[bool, float]]:
+    """(doc_id, toxic) of at most about ``sample`` labelled ids of each class, by hash of the
+    id, and the share of each class that is drawn."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")) \
         .where(~held_out(F.col("doc_id"))).withColumn("toxic", (F.col("toxic") == 1)) \
         .withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40))
@@ -203,13 +230,63 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
     share = {k: min(1.0, 0.9 * sample / n) if n > 0.9 * sample else 1.0 for k, n in sizes.items()}
     drawn = known.where(
         (F.col("toxic") & (F.col("draw") < share.get(True, 1.0))) | (~F.col("toxic") & (F.col("draw") < share.get(False, 1.0))))
-    drawn = stored(drawn.select("doc_id", "toxic"), "labelled")  # bounded by ``sample``
-    rows = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").limit(2 * sample).toArrow()
-    rows = sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "toxic", "text"))), key=lambda r: (r[0], r[2] or ""))
-    order = np.argsort([zlib.crc32(str(r[0]).encode()) for r in rows], kind="stable")
-    toxic = np.array([rows[i][1] for i in order], bool)
+    return drawn.select("doc_id", "toxic"), share
+
+
+def token_forms(docs: DataFrame) -> DataFrame:
+    """(doc_id, toxic, forms): each text's token forms as 64-bit hashes.  One row per id:
+    of different texts that share an id, the one with the smallest hash counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                tokens = Tokens(part.column("text"))
+                each = tokens.features[tokens.form, 0] if len(tokens.form) else np.zeros(0, np.uint64)
+                held = [each[a:b].tobytes() for a, b in zip(tokens.first[:-1], tokens.first[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("toxic"), part.column("text_hash"), pa.array(held, pa.binary())],
+                    ["doc_id", "toxic", "text_hash", "forms"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.mapInArrow(tidied(run), f"doc_id {kind}, toxic boolean, text_hash long, forms binary")
+    return rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("forms", "text_hash").alias("forms"))
+
+
+def form_features(docs: DataFrame) -> DataFrame:
+    """(features): the distinct forms of the texts, each as its feature hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                features = Tokens(part.column("text")).features
+                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in features], pa.binary())], ["features"])
+
+    return docs.mapInArrow(tidied(run), "features binary").distinct()
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
+    """Fit on at most about ``sample`` labelled documents of each class.  The driver gets
+    eight bytes a token and the features of the distinct forms, not the texts."""
+    drawn, share = drawn_labels(labels, sample)
+    drawn = stored(drawn, "labelled")  # bounded by ``sample``
+    texts = stored(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+                   .select("doc_id", "toxic", "text", F.xxhash64("text").alias("text_hash")), "labelled-texts")
+    features = form_features(texts).toArrow().column("features")
+    width = 2 + len(PREFIXES)
+    features = np.frombuffer(b"".join(features.to_pylist()), np.uint64).reshape(-1, width)
+    features = features[np.argsort(features[:, 0])]
+    rows = token_forms(texts).toArrow()
+    drop(drawn)
+    drop(texts)
+    ids, toxic = rows["doc_id"].to_pylist(), np.array(rows["toxic"].to_pylist(), bool)
+    order = np.array(sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i])), np.int64)
+    held = [np.searchsorted(features[:, 0], np.frombuffer(rows["forms"][int(i)].as_buffer(), np.uint64)).astype(np.int32) for i in order]
+    del rows
+    first = np.append(0, np.cumsum([len(h) for h in held])).astype(np.int64)
+    form = np.concatenate(held) if held else np.zeros(0, np.int32)
+    toxic = toxic[order]
     weight = np.where(toxic, 1 / share.get(True, 1.0), 1 / share.get(False, 1.0))
-    return fit([rows[i][2] or "" for i in order], toxic, weight)
+    return fit(Sample(form, first, features, toxic, weight))
 
 
 def tag(docs: DataFrame, tagger: Tagger, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
