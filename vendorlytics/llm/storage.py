@@ -20,7 +20,19 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    """A new folder's whole address.  A path without a scheme is one of the cluster's default
+    file system, for Spark and for the files that tasks write alike."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString()
+
+
+def arrow_address(path: str) -> str:
+    """A Hadoop address as pyarrow's file systems name it."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme == "file" and not rest.startswith("//"):
+        return f"file://{rest}"
+    return f"s3:{rest}" if colon and scheme in ("s3a", "s3n") else path
 
 
 @contextmanager
@@ -61,7 +73,7 @@ def write_file(path: str, chunks) -> int:
     Returns the bytes written."""
     from pyarrow import fs
 
-    system, target = fs.FileSystem.from_uri(path)
+    system, target = fs.FileSystem.from_uri(arrow_address(path))
     folder, _, name = target.rpartition("/")
     system.create_dir(folder, recursive=True)
     trial, size = f"{folder}/.{name}.{uuid.uuid4().hex}", 0
@@ -77,5 +89,5 @@ def open_file(path: str):
     """A file opened for range reads (``read_at(length, offset)``)."""
     from pyarrow import fs
 
-    system, target = fs.FileSystem.from_uri(path)
+    system, target = fs.FileSystem.from_uri(arrow_address(path))
     return system.open_input_file(target)
