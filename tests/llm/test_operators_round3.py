@@ -251,3 +251,119 @@ def test_shares_beyond_longs_are_exact(spark):
     big = spark.createDataFrame([(12, 30, 7), (10**11, 10**13, 10**6), (5 * 10**12, 6 * 10**12, 3)], "c long, n long, v long")
     got = [r.p for r in big.select(divergence.share("c", "n", "v").alias("p")).collect()]
     assert got == [1 + 10**9 * (c + 1) // (n + v) for c, n, v in [(12, 30, 7), (10**11, 10**13, 10**6), (5 * 10**12, 6 * 10**12, 3)]]
+
+
+# ------------------------------------------------------------------ earlier operators: mended cases
+
+def test_links_of_different_texts_under_one_id_are_kept(spark):
+    from vendorlytics.llm import neardup
+
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = [[*w[:30], "changed", *w[31:]] for w in (a, b)]
+    rows = [(1, a), (1, b), (2, near[0]), (3, near[1]), (9, [f"c{i}" for i in range(60)])]
+    docs = spark.createDataFrame([(i, " ".join(w), "r", "s", 0) for i, w in rows], "doc_id long, text string, rep string, set_hash string, n int")
+    got = sorted({(r.doc_id, r.component_id) for r in neardup.link(docs).collect()})
+    assert got == [(1, 1), (2, 1), (3, 1), (9, 9)]
+    assert neardup.link(docs.limit(0)).count() == 0
+
+
+def test_lines_with_clashing_columns_null_ids_and_repeated_rows(spark):
+    from vendorlytics.llm import lines
+
+    common = "this line stands in all the documents there are"
+    rows = [(i, f"{common}\nline number {i} of its own kind here") for i in range(1, 40)]
+    rows += [(None, f"{common}\nonly without an id"), (5, "another text under the id five\n" + common), rows[2], (50, ""), (51, None)]
+    docs = spark.createDataFrame([(i, t, "g", 7, "k", 1.5) for i, t in rows],
+                                 "doc_id long, text string, gone string, _ord int, _k string, __near double")
+    out = lines.deduplicate(docs.repartition(5))
+    assert set(out.columns) == {*docs.columns, "n_lines", "n_removed", "n_near"}
+    got = out.collect()
+    assert len(got) == len(rows) and all((r.gone, r["_ord"], r["_k"], r["__near"]) == ("g", 7, "k", 1.5) for r in got)
+    assert sum(common in (r.text or "") for r in got) == 1  # the row without an id comes first
+    assert [r.text for r in got if r.doc_id is None] == [rows[39][1]]
+    assert lines.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_bucket_sizes_count_distinct_lines(spark, monkeypatch):
+    from vendorlytics.llm import components
+
+    seen = []
+
+    def compare(named):
+        seen.extend(r["size"] for r in named.collect())
+        return named.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+
+    rows = [(1, 10)] * 2000 + [(1, 11)] + [(2, 10)] * 3
+    buckets = spark.createDataFrame(rows, "bucket long, rep long").repartition(6)
+    assert components.connect(buckets, lambda p: p.where("false"), compare).count() == 0
+    assert sorted(seen) == [2, 2]
+
+
+def test_toxicity_is_learned_alike_at_every_size(spark):
+    from vendorlytics.llm import toxicity
+
+    r = random.Random(5)
+
+    def table(n, toxic_share, label):
+        rows = []
+        for i in range(n):
+            bad = r.random() < toxic_share
+            words = [f"w{r.randrange(50)}" for _ in range(12)]
+            if bad:
+                words[r.randrange(12)] = "vileword"
+            elif r.random() < 0.3:
+                words[r.randrange(12)] = "edgeword"  # in clean and toxic documents alike
+            if bad and r.random() < 0.9:
+                words[r.randrange(12)] = "edgeword"
+            rows.append((i, " ".join(words), int(bad), "x", 1))
+        df = spark.createDataFrame(rows, "doc_id long, text string, bad int, toxic string, weight int")
+        return df, df.select("doc_id", F.col("bad").alias("toxic"))
+
+    docs, labels = table(3000, 0.1, 0)
+    for sample in (10_000, 300):  # all labels, and a tenth of the clean ones
+        tagger = toxicity.learn(docs, labels, sample)
+        marks = toxicity.Tokens(pa.array(["vileword edgeword w1"]))
+        high = tagger.marginals(marks)
+        assert high[0] > 0.5 and high[1] < 0.5 and high[2] < 0.5
+        scored = toxicity.score(docs.limit(200), labels.limit(0)) if sample == 300 else None
+        if scored is not None:
+            assert scored.where("predicted = 1").count() == 0
+        found = toxicity.tag(docs, tagger, keep=("doc_id", "bad")).where("(score >= 0.3) != (bad = 1)").count()
+        assert found <= 30
+    drawn, share = toxicity.drawn_labels(labels, 300)
+    assert drawn.count() <= 2 * 300 and share[False] < 0.2
+
+
+def test_plain_marginals_and_scores_follow_from_the_tagger(spark):
+    """The query's score against a plain forward-backward, token by token."""
+    from vendorlytics.llm import toxicity
+
+    texts = ["bad word bad", "", None, "one", "clean words only here", "x " * 150 + "bad"]
+    tagger = toxicity.Tagger()
+    weights = np.random.default_rng(3).normal(0, 0.5, 1 << toxicity.BITS)
+    tagger.weights, tagger.start = weights.astype(np.float32), -0.4
+    tagger.transition, tagger.curve = np.array([[0.0, -1.2], [-0.7, 0.3]]), np.array([-2.0, 1.1, 0.4])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.n_toxic) for r in toxicity.tag(docs, tagger).collect()}
+    move = np.exp(tagger.transition)
+    for i, text in enumerate(texts):
+        tokens = toxicity.Tokens(pa.array([text], pa.string()))
+        e = [float(tagger.weights[tokens.slots()[f]].sum()) for f in tokens.form]
+        ahead, back = [], [np.ones(2)]
+        for t, x in enumerate(e):
+            v = (np.array([1, np.exp(tagger.start)]) if t == 0 else ahead[-1] @ move) * np.array([1, np.exp(x)])
+            ahead.append(v / v.sum())
+        for x in reversed(e[1:]):
+            v = move @ (np.array([1, np.exp(x)]) * back[-1])
+            back.append(v / v.sum())
+        p = np.array([(a * b)[1] / (a * b).sum() for a, b in zip(ahead, reversed(back[:len(e)]))])
+        total, most = (p[p >= toxicity.CLEAN].sum(), np.clip(p.max(), 1e-4, 1 - 1e-4)) if len(p) else (0, 1e-4)
+        want = 1 / (1 + math.exp(-(np.array([1, math.log1p(total), math.log(most / (1 - most))]) @ tagger.curve)))
+        assert got[i] == pytest.approx((want, total), rel=1e-5, abs=1e-9)
+
+
+def test_addresses_of_task_files():
+    from vendorlytics.llm.storage import arrow_address
+
+    assert arrow_address("file:/tmp/x") == "file:///tmp/x" and arrow_address("s3a://b/k") == "s3://b/k"
+    assert arrow_address("hdfs://n:8020/x") == "hdfs://n:8020/x" and arrow_address("file:///x") == "file:///x"

@@ -116,24 +116,27 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, n, shingles, marks) of the classes in ``wanted`` (rep, set_hash); marks
-    has two bytes of each shingle."""
+    """(rep, set_hash, n, shingles, marks) of the classes in ``wanted`` (rep, set_hash); marks
+    has two bytes of each shingle.  An id with different texts may stand for several
+    classes: each of their sets counts, as they are one document for linking."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                kept = [(rep, s) for rep, name, s in zip(
+                kept = [(rep, name, s) for rep, name, s in zip(
                     part.column("rep").to_pylist(), part.column("set_hash").to_pylist(),
                     shingle_sets(part.column("text")))
                     if hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == name]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()),
-                     pa.array([s.astype("<u8").tobytes() for _, s in kept], pa.binary()),
-                     pa.array([(s & np.uint64(65535)).astype("<u2").tobytes() for _, s in kept], pa.binary())],
-                    ["rep", "n", "shingles", "marks"])
+                    [pa.array([k for k, _, _ in kept], pa.int64()), pa.array([h for _, h, _ in kept], pa.string()),
+                     pa.array([len(s) for _, _, s in kept], pa.int64()),
+                     pa.array([s.astype("<u8").tobytes() for _, _, s in kept], pa.binary()),
+                     pa.array([(s & np.uint64(65535)).astype("<u2").tobytes() for _, _, s in kept], pa.binary())],
+                    ["rep", "set_hash", "n", "shingles", "marks"])
 
     rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "set_hash", "text")
-    return rows.mapInArrow(tidied(run), "rep long, n long, shingles binary, marks binary").dropDuplicates(["rep"])
+    return rows.mapInArrow(tidied(run), "rep long, set_hash string, n long, shingles binary, marks binary") \
+        .dropDuplicates(["rep", "set_hash"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right") \
-        .mapInArrow(tidied(run), "a long, b long")
+        .mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -163,7 +166,7 @@ def sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     least, of = SIMILAR
     out = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a") \
         .join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    return out.where(F.least("na", "nb") * of >= F.greatest("na", "nb") * least).select("a", "b")
+    return out.where(F.least("na", "nb") * of >= F.greatest("na", "nb") * least).select("a", "b").distinct()
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
@@ -193,6 +196,7 @@ def _meeting(rows: pa.Table) -> pa.RecordBatch:
 
 def link(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept."""
+    docs = docs.select("doc_id", "text")
     sketched = stored(sketch(docs), "sketches")
     classes = sketched.where("doc_id IS NOT NULL AND set_hash IS NOT NULL") \
         .groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
