@@ -8,6 +8,7 @@ such a write are released when it ends.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -51,6 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_folder(spark, name)
     with releasing_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
+    gc.collect()  # plans that only unreachable Python objects hold are freed on the driver
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path  # for ``drop``
     return out

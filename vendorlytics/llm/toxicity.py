@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from vendorlytics.llm.crf import Chains, observed_transitions
 from vendorlytics.llm.storage import drop, stored
-from vendorlytics.llm.text import LOWER, Words, doc_of, hash_spans, mix, slices, span_sums, text_bytes, tidied
+from vendorlytics.llm.text import LOWER, Words, doc_of, give_back, hash_spans, mix, slices, span_sums, text_bytes, tidied
 
 SAMPLE = 4000
 THRESHOLD, CLEAN = 0.3, 0.05
@@ -286,7 +286,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
     form = np.concatenate(held) if held else np.zeros(0, np.int32)
     toxic = toxic[order]
     weight = np.where(toxic, 1 / share.get(True, 1.0), 1 / share.get(False, 1.0))
-    return fit(Sample(form, first, features, toxic, weight))
+    tagger = fit(Sample(form, first, features, toxic, weight))
+    del held, form, first, features
+    give_back()  # later stages share this process
+    return tagger
 
 
 def tag(docs: DataFrame, tagger: Tagger, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
