@@ -198,6 +198,27 @@ def test_token_files_equal_the_library(spark):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_chunks_of_all_kinds_go_through_the_library_alike():
+    rng, coder = np.random.default_rng(5), token_files.coder(BYTES)
+    letters = [" ", "\n", "\t", "\x1c", "\x7f", "\x85", "\xa0", "a", "Z", "9", "-", "é", "ß", "ж", "\u1680", "\u2003", "\u3000", "中", "😀",
+               "<|endoftext|>"]
+    chunks = sorted({"".join(rng.choice(letters, rng.integers(1, 5))) for _ in range(3000)})
+    raw = [c.encode() for c in chunks]
+    sure = token_files.plain_lines(np.frombuffer(b"".join(raw), np.uint8), np.array([len(c) for c in raw]))
+    special = np.array([any(x in c for x in coder.special) for c in chunks])
+    assert not (sure & ~special & ~np.array([coder.is_line(c) for c in raw])).any() and sure.any() and (~sure).any()
+    want = [np.array(coder.tokenizer.encode(c, add_special_tokens=False).ids, np.int32).tobytes() for c in chunks]
+    assert coder.encode_chunks(raw) == want
+    plain = [c for c, s in zip(raw, special) if not s]
+    assert coder.encode_chunks(plain) == [w for w, s in zip(want, special) if not s]
+
+
+def test_kept_chunks_change_no_ids_and_long_ones_are_not_kept():
+    c, column = token_files.Coder(BYTES), pa.array(["a b a " + "x" * 500, None, "", "b a\n\nc"])
+    first, again = c.encode(column), c.encode(column)
+    assert first == again and c.cache.young and max(map(len, c.cache.young)) <= token_files.LONGEST
+
+
 def test_damaged_token_file_is_noticed(spark):
     folder = fresh_folder(spark, "test-tokens")
     token_files.write(documents(spark, corpus()), BYTES, folder)

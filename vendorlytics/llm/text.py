@@ -211,15 +211,16 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
 
 
 class ChunkCache:
-    """Token ids of text chunks, kept while a task runs: two generations of up to
-    ``limit`` chunks, of which the older goes when the younger is full.
+    """Token ids of text chunks, kept until ``clear``: two generations of up to
+    ``limit`` chunks, of which the older goes when the younger is full.  Chunks of
+    more than ``longest`` bytes are encoded but not kept.
 
     ``encode(list of bytes) -> list of int32 bytes`` is called for the chunks
     that the cache lacks.
     """
 
-    def __init__(self, encode, limit: int = 100_000):
-        self.encode, self.limit, self.young, self.old = encode, limit, {}, {}
+    def __init__(self, encode, limit: int = 100_000, longest: float = float("inf")):
+        self.encode, self.limit, self.longest, self.young, self.old = encode, limit, longest, {}, {}
 
     def clear(self) -> None:
         self.young, self.old = {}, {}
@@ -240,7 +241,9 @@ class ChunkCache:
                 else:
                     young[chunk] = ids
         for i, ids in zip(missing, self.encode([distinct[i] for i in missing]) if missing else ()):
-            found[i] = young[distinct[i]] = ids
+            found[i] = ids
+            if len(distinct[i]) <= self.longest:
+                young[distinct[i]] = ids
         if len(young) > self.limit:
             self.old, self.young = young, {}
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4

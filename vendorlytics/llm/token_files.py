@@ -13,8 +13,9 @@ the file ``table``; the order of files and the ids before each are in
 
 Encoding cuts texts where the byte-level rule always separates tokens: in front
 of a space that follows other text, around a single line feed between two
-printable characters, and between letters and marks.  Distinct chunks are encoded once per worker by the
-tokenizers library.
+printable characters, and between letters and marks.  Distinct chunks are encoded by the
+tokenizers library; a Python worker keeps the ids of up to 2 x 300,000 chunks of at most 64 bytes
+from task to task.
 
 Defined results: a null or empty text has the end id alone; documents with
 equal ids are ordered by text and each keeps its row; a null id sorts first; an
@@ -43,6 +44,7 @@ MAGIC = b"RANSTOK1"
 BLOCKS_AT_ONCE = 48
 LINES = 4096
 SLICE = 6 << 20
+KEPT, LONGEST = 300_000, 64  # chunks of a generation, bytes of a kept chunk
 END_ID = 0
 _CHARS = np.arange(256)
 _LETTER = ((_CHARS >= 65) & (_CHARS <= 90)) | ((_CHARS >= 97) & (_CHARS <= 122))
@@ -59,7 +61,12 @@ class Coder:
         self.bytes = np.zeros(self.size, np.int64)  # a byte-level token has one character a byte
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes[i] = len(token)
-        self.cache = ChunkCache(self.encode_chunks, limit=300_000)
+        self.cache = ChunkCache(self.encode_chunks, limit=KEPT, longest=LONGEST)
+
+    def is_line(self, chunk: bytes) -> bool:
+        t = chunk.decode()
+        return not t[-1].isspace() and not (t[0].isspace() and (t[0] != " " or t[1].isspace())) \
+            and not any(x in t for x in self.special)
 
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         """Most chunks go through the library as lines of one text, whose ids are
@@ -67,24 +74,27 @@ class Coder:
         chunk that doesn't end in white space and one that begins with something
         else, or with a single space before it."""
         out: list[bytes] = [b""] * len(chunks)
-        texts = [c.decode() for c in chunks]
-        lines = [i for i, t in enumerate(texts) if not t[-1].isspace()
-                 and not (t[0].isspace() and (t[0] != " " or t[1].isspace())) and not ("<" in t and any(x in t for x in self.special))]
-        alone = sorted(set(range(len(texts))).difference(lines))
-        for i, coded in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)):
+        whole, sizes = b"".join(chunks), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        good = plain_lines(np.frombuffer(whole, np.uint8), sizes)
+        if any(x.encode() in whole for x in self.special):
+            good[:] = False
+        for i in np.flatnonzero(~good).tolist():
+            good[i] = self.is_line(chunks[i])
+        lines, alone = np.flatnonzero(good), np.flatnonzero(~good).tolist()
+        for i, coded in zip(alone, self.tokenizer.encode_batch_fast([chunks[i].decode() for i in alone], add_special_tokens=False)):
             out[i] = np.array(coded.ids, np.int32).tobytes()
         for k in range(0, len(lines), LINES):
             some = lines[k:k + LINES]
-            coded = self.tokenizer.encode_batch_fast(["\n".join([texts[i] for i in some])], add_special_tokens=False)
+            text = b"\n".join([chunks[i] for i in some.tolist()]).decode()
+            coded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(coded[0].ids, np.int32)
             raw, ends = ids.tobytes(), np.cumsum(self.bytes[ids])
-            sizes = np.fromiter((len(chunks[i]) for i in some), np.int64, len(some))
-            stops = np.cumsum(sizes + 1) - 1
+            stops = np.cumsum(sizes[some] + 1) - 1
             upto = np.searchsorted(ends, stops) + 1
             if (ends[upto - 1] != stops).any():
                 raise ValueError("a token crosses a line")
             first = 0
-            for i, at in zip(some, (upto * 4).tolist()):
+            for i, at in zip(some.tolist(), (upto * 4).tolist()):
                 out[i] = raw[first:at]
                 first = at + 4
         return out
@@ -102,6 +112,22 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+def _solid(first: np.ndarray) -> np.ndarray:
+    """Whether a character's first byte is never one of white space."""
+    return (first > 32) & (first != 127) & (first != 0xC2) & ((first < 0xE1) | (first > 0xE3))
+
+
+def plain_lines(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Chunks (none empty, back to back in ``data``) whose first and last bytes show that
+    they neither end in white space nor begin with more of it than one space."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    last, previous = data[ends - 1], data[np.maximum(ends - 2, starts)]
+    opens = _solid(data[starts]) | ((data[starts] == 32) & (sizes > 1) & _solid(data[np.minimum(starts + 1, ends - 1)]))
+    closes = ((last > 32) & (last < 127)) | ((last >= 0x80) & (previous > 0xC2) & (previous < 0xE0))
+    return opens & closes
+
+
 def safe_cuts(data: np.ndarray, offsets: np.ndarray, special: list[bytes] = ()) -> np.ndarray:
     """Chunk starts: the texts' starts, and places where the byte-level rule of
     words, numbers, symbols and white space always begins a new token.
@@ -119,7 +145,7 @@ def safe_cuts(data: np.ndarray, offsets: np.ndarray, special: list[bytes] = ())
     begins[n] = False
     if n > 2:
         after = np.append(data[1:], np.uint8(32))
-        solid = (after > 32) & (after != 127) & (after != 0xC2) & (after != 0xE1) & (after != 0xE2) & (after != 0xE3)
+        solid = _solid(after)
         last = np.zeros(n, bool)
         last[offsets[1:][offsets[1:] > 0] - 1] = True
         space = (data == 32) & solid & ~last
@@ -151,7 +177,6 @@ def encode(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id")
                     pa.large_binary(), len(part), [None, pa.py_buffer(at * 4), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(doc_id), pa.array(np.diff(at)), ids.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
-        c.cache.clear()
 
     return df.select(doc_id, text).mapInArrow(
         tidied(run), f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_tokens long, ids binary")
@@ -261,8 +286,9 @@ def write(df: DataFrame, path: str, folder: str, text: str = "text", doc_id: str
     """Write the documents' ids, in ascending order of ``doc_id``, to files in
     ``folder``; returns the manifest (file, first token, tokens), a row a file."""
     spark = df.sparkSession
+    # Ranges also cut within an id (or null id) that many texts share, by the texts' beginnings.
     ordered = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")) \
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        .repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     # Row numbers ascend over partitions, so any run of rows knows its place.
     coded = stored(encode(ordered, path).withColumn("row", F.monotonically_increasing_id()), "token-ids")
     with releasing_shuffles(spark):
