@@ -116,7 +116,8 @@ def scorecard_tables(t: DriverTables) -> dict[str, DataFrame]:
     shipped = L.where(~((F.col("l_linestatus") == "O") & (F.col("l_linenumber") >= 6)))
     shipping_order_items = shipped.select(_item_id().alias("order_item_id"),
                                           _package_id().alias("shipping_package_id"))
-    packs = (shipped.select("l_orderkey", F.col("l_suppkey").alias("_sk")).distinct()
+    # Dealt by order for both the distinct and the join.
+    packs = (shipped.select("l_orderkey", F.col("l_suppkey").alias("_sk")).repartition("l_orderkey").distinct()
              .join(_order_created(O).select(F.col("o_orderkey").alias("l_orderkey"), "_created"), "l_orderkey"))
     sk = F.col("_sk")
     shipping_packages = packs.select(
@@ -197,17 +198,19 @@ def sales_tables(t: DriverTables) -> Datasets:
     first_word = F.element_at(F.split("p_name", " "), 1)
 
     def sales_items() -> DataFrame:
-        j = (L.join(O, L.l_orderkey == O.o_orderkey)
-             .join(PT.select("p_partkey", "p_name", "p_retailprice"), L.l_partkey == PT.p_partkey)
-             .join(S.select("s_suppkey", "s_nationkey"), L.l_suppkey == S.s_suppkey)
-             .join(C.select("c_custkey", "c_nationkey"), O.o_custkey == C.c_custkey))
+        # Orders meet their customers among themselves, and lines come to their orders last: two
+        # exchanges of the lines, and an order's lines stand together.
+        ordered = O.join(C.select("c_custkey", "c_nationkey"), O.o_custkey == C.c_custkey)
+        j = (L.join(S.select("s_suppkey", "s_nationkey"), L.l_suppkey == S.s_suppkey)
+             .join(PT.select("p_partkey", first_word.alias("_word"), "p_retailprice"), L.l_partkey == PT.p_partkey)
+             .join(ordered, L.l_orderkey == O.o_orderkey))
         return j.select(
             _code("I", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("SaleOrderItemCode"),
             _code("O", "l_orderkey").alias("DisplayOrderCode"),
             F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1),
                    _code("RP", "l_orderkey")).alias("ReversePickupCode"),
             (F.col("l_linenumber") % 2).cast("int").alias("COD"),
-            _case(first_word, _UC_CATEGORY).alias("Category"),
+            _case(F.col("_word"), _UC_CATEGORY).alias("Category"),
             # Two nations' customers, and the parts below, have keys that no dimension row has.
             (F.col("c_nationkey") + F.when(F.col("c_nationkey") < 22, 110000).otherwise(990000)).cast("string")
             .alias("ShippingAddressPincode"),
