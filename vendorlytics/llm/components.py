@@ -102,13 +102,13 @@ def connect(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     (bucket, rep, label, size), to ``compare``, which returns the pairs of
     different labels that may be linked (see ``meetings``).
     """
-    # Dealt by bucket once: repeated rows go, then each bucket's rows learn its least and
-    # last rep and its size, and buckets of one rep go.
+    # Dealt by bucket once: each bucket's rows learn its least and last rep, buckets of one
+    # rep go (nearly all), then repeated rows, and what is left is counted.
     of = Window.partitionBy("bucket")
-    held = buckets.repartition("bucket").distinct().select(
-        "bucket", "rep", F.min("rep").over(of).alias("centre"), F.max("rep").over(of).alias("last"),
-        F.count("*").over(of).alias("size"))
-    shared = stored(held.where("centre != last").drop("last"), "buckets")
+    held = buckets.repartition("bucket").select(
+        "bucket", "rep", F.min("rep").over(of).alias("centre"), F.max("rep").over(of).alias("last"))
+    shared = held.where("centre != last").drop("last").distinct()
+    shared = stored(shared.withColumn("size", F.count("*").over(of)), "buckets")
     pairs = stored(shared.where("rep != centre").select(
         F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(confirm(pairs), "links")

@@ -38,7 +38,7 @@ from vendorlytics.llm.text import SPACES, hash_spans, mix, slices, span_sums, te
 
 EDITS = 2
 NEAR = 24
-BLOCK, CELLS = 256, 128
+BLOCK, CELLS, PAIRS = 256, 128, 1024
 FILED = 1 << 20
 OCCURRENCE = "ord long, k long, no int"
 
@@ -151,13 +151,28 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.mapInArrow(tidied(run), "rep long, content string")
 
 
+def char_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and how often each character (its code modulo ``CELLS``) occurs.  An edit
+    changes the counts of two characters at most, so lines whose counts differ by more than
+    2 * edits in all are farther apart."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) % CELLS
+    table = np.bincount(np.repeat(np.arange(len(texts)), sizes) * CELLS + points, minlength=len(texts) * CELLS)
+    return sizes, table.reshape(-1, CELLS).astype(np.int32)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame:
     """The pairs (a, b) whose lines are at most ``edits`` edits apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within(x, y, edits) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in (batch.slice(k, PAIRS) for k in range(0, batch.num_rows, PAIRS)):
+                left, right = part.column("left").to_pylist(), part.column("right").to_pylist()
+                (sizes, table), (others, other) = char_counts(left), char_counts(right)
+                keep = (np.abs(sizes - others) <= edits) & (np.abs(table - other).sum(1) <= 2 * edits)
+                for i in np.flatnonzero(keep).tolist():
+                    keep[i] = within(left[i], right[i], edits)
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("rep").alias("a"), F.col("content").alias("left"))
     right = texts.select(F.col("rep").alias("b"), F.col("content").alias("right"))
@@ -165,15 +180,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, edits: int = EDITS) -> DataFrame
 
 
 def _meeting(rows: pa.Table, edits: int) -> pa.RecordBatch:
-    """Pairs of different labels within ``edits``.  An edit changes the counts of
-    two characters at most, so lines whose counts differ by more than 2 * edits in
-    all are never compared."""
+    """Pairs of different labels within ``edits``; ``char_counts`` tell which are never compared."""
     rep, label = rows["rep"].to_numpy(), rows["label"].to_numpy()
     texts = rows["content"].to_pylist()
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) % CELLS
-    table = np.bincount(np.repeat(np.arange(len(texts)), sizes) * CELLS + points,
-                        minlength=len(texts) * CELLS).reshape(-1, CELLS).astype(np.int32)
+    sizes, table = char_counts(texts)
     a, b = [], []
     for i in range(len(texts) - 1):
         maybe = np.flatnonzero((label[i + 1:] != label[i]) & (np.abs(sizes[i + 1:] - sizes[i]) <= edits)) + i + 1
