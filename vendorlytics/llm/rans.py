@@ -15,6 +15,7 @@ SCALE = 18
 LANES = 32
 CHECKPOINT = 256
 BLOCK = LANES * CHECKPOINT * 8
+LOOKED_UP = 32
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _SCALE, _MASK = np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
@@ -42,7 +43,6 @@ class Table:
     def __init__(self, freq: np.ndarray):
         self.freq = np.asarray(freq, np.uint64)
         self.start = np.append(0, np.cumsum(self.freq)[:-1]).astype(np.uint64)
-        self.limit = (self.freq << np.uint64(63 - SCALE))
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.int32), np.asarray(freq, np.int64))
         self.inverse = 1.0 / np.maximum(self.freq, 1).astype(np.float64)
 
@@ -62,16 +62,20 @@ class Table:
         marks = -(-steps // CHECKPOINT)
         states = np.zeros((marks, blocks * LANES), np.uint64)
         for s in range(steps - 1, -1, -1):
-            sym = by_step[s]
-            f = self.freq[sym]
-            over = x >= self.limit[sym]
+            at = s % LOOKED_UP
+            if at == LOOKED_UP - 1 or s == steps - 1:  # the table's values for some steps at once
+                syms = by_step[s - at:s + 1]
+                freq, start, inverse = self.freq[syms], self.start[syms], self.inverse[syms]
+                limit, signed = freq << np.uint64(63 - SCALE), freq.astype(np.int64)
+            f = freq[at]
+            over = x >= limit[at]
             emitted[s] = over
             words[s] = x  # the low 32 bits
             x = np.where(over, x >> _WORD, x)
-            q = (x * self.inverse[sym]).astype(np.uint64)  # within one of x // f
+            q = (x * inverse[at]).astype(np.uint64)  # within one of x // f
             r = (x - q * f).astype(np.int64)
-            q = q - (r < 0) + (r >= f.astype(np.int64))
-            x = (q << _SCALE) + (x - q * f) + self.start[sym]
+            q = q - (r < 0) + (r >= signed[at])
+            x = (q << _SCALE) + (x - q * f) + start[at]
             if s % CHECKPOINT == 0:
                 states[s // CHECKPOINT] = x
         kept = emitted.reshape(steps, blocks, LANES).transpose(1, 0, 2)

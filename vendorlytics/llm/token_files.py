@@ -162,8 +162,11 @@ def safe_cuts(data: np.ndarray, offsets: np.ndarray, special: list[bytes] = ())
     return np.flatnonzero(begins[:-1])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian 32-bit numbers, the end id last."""
+def encode(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", tally: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian 32-bit numbers, the end id last.  With
+    ``tally`` also what ``id_counts`` sums: on the last row of each slice of texts, the slice's
+    ids and how often each occurs (32-bit numbers, at most two a token), else null."""
+    schema = f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_tokens long, ids binary" + ", tally binary" * tally
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
@@ -175,27 +178,32 @@ def encode(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id")
                 at = at + np.arange(len(at))
                 ids = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), len(part), [None, pa.py_buffer(at * 4), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(doc_id), pa.array(np.diff(at)), ids.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+                columns = [part.column(doc_id), pa.array(np.diff(at)), ids.cast(pa.binary())]
+                if tally:
+                    found = np.bincount(flat)
+                    some = np.flatnonzero(found)
+                    last = np.stack([some, found[some]]).astype("<u4").tobytes()
+                    columns.append(pa.array([None] * (len(part) - 1) + [last], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "tally"][:len(columns)])
 
-    return df.select(doc_id, text).mapInArrow(
-        tidied(run), f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_tokens long, ids binary")
+    return df.select(doc_id, text).mapInArrow(tidied(run), schema)
 
 
 def id_counts(coded: DataFrame) -> dict[int, int]:
-    """How often each id occurs (at most the vocabulary's size of rows)."""
+    """How often each id occurs (at most the vocabulary's size of rows), from the tallies of ``encode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(0)), "<u4")
-            found = np.bincount(ids, minlength=len(total))
-            found[:len(total)] += total
-            total = found
+            for raw in batch.column(0):
+                ids, n = np.frombuffer(raw.as_buffer(), "<u4").reshape(2, -1)
+                if len(ids) and ids[-1] >= len(total):  # ascending
+                    total = np.append(total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64))
+                total[ids] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
-    counts = coded.select("ids").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = coded.where("tally IS NOT NULL").select("tally").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r.id: r.n for r in counts.collect()}
 
 
@@ -290,7 +298,7 @@ def write(df: DataFrame, path: str, folder: str, text: str = "text", doc_id: str
     ordered = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")) \
         .repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     # Row numbers ascend over partitions, so any run of rows knows its place.
-    coded = stored(encode(ordered, path).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    coded = stored(encode(ordered, path, tally=True).withColumn("row", F.monotonically_increasing_id()), "token-ids")
     with releasing_shuffles(spark):
         counts = id_counts(coded)
     freq = rans.quantise(np.bincount(list(counts), weights=list(counts.values())) if counts else np.zeros(1))
@@ -304,7 +312,7 @@ def write(df: DataFrame, path: str, folder: str, text: str = "text", doc_id: str
             yield pa.RecordBatch.from_pydict({"first_row": [first], "tokens": [out.tokens]})
 
     with releasing_shuffles(spark):
-        written = sorted(coded.mapInArrow(tidied(run), "first_row long, tokens long").collect())  # one small row a file
+        written = sorted(coded.drop("tally").mapInArrow(tidied(run), "first_row long, tokens long").collect())  # one small row a file
     drop(coded)
     starts = np.append(0, np.cumsum([r.tokens for r in written])).tolist()
     manifest = [(f"ids-{r.first_row:016x}", start, r.tokens) for r, start in zip(written, starts)]
