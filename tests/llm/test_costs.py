@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from vendorlytics.llm import lines, token_files
+from vendorlytics.llm import components, lines, token_files
 from vendorlytics.llm.components import connect
 
 
@@ -50,3 +50,30 @@ def test_bucket_sizes_count_distinct_reps(spark):
     out = connect(held, lambda pairs: pairs.where("a = 10 AND b = 11"), compare)
     assert sorted(map(tuple, out.collect())) == [(10, 10), (11, 10)]
     assert sorted(seen) == [(1, 10, 3), (1, 11, 3), (1, 12, 3)]
+
+
+def test_stars_take_no_step(spark, monkeypatch):
+    """Edges that are stars already are told by one pass, chains take steps; new links
+    tie labels together without the links that made them."""
+    steps, step = [], components._step
+    monkeypatch.setattr(components, "_step", lambda star, kind: steps.append(kind) or step(star, kind))
+    rows = [(1, k) for k in range(2, 40)] + [(50, 60), (70, 50), (50, 60)]
+    labels = components.components(spark.createDataFrame(rows, "a long, b long"))
+    want = {(k, 1) for k in range(1, 40)} | {(50, 50), (60, 50), (70, 50)}
+    assert not steps and {tuple(r) for r in labels.collect()} == want and labels.count() == len(want)
+    none = spark.createDataFrame([], "a long, b long")
+    assert components.joined(labels, none) is labels and not steps
+    more = components.joined(labels, spark.createDataFrame([(60, 39), (80, 81)], "a long, b long"))
+    assert steps and {tuple(r) for r in more.collect()} == {(k, 1) for k in [*range(1, 40), 50, 60, 70]} | {(80, 80), (81, 80)}
+
+
+def test_line_texts_are_looked_up_once(spark, monkeypatch):
+    """One pass over the texts serves the stars, the meetings and what these find."""
+    passes, look = [], lines.line_texts
+    monkeypatch.setattr(lines, "line_texts", lambda docs, wanted: passes.append(1) or look(docs, wanted))
+    base = "the quick brown fox jumps over the lazy dog and runs"
+    rows = [(1, base), (2, "X" + base[1:]), (3, base[:-1] + "Y"), (3, base[:-1] + "Y"), (4, "nothing like the others at all, no"), (5, None)]
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in got if r.doc_id < 5) == [
+        (1, 0, base), (2, 1, ""), (3, 1, ""), (3, 1, ""), (4, 0, rows[4][1])]
+    assert len(passes) == 1

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.storage import drop, stored
+from vendorlytics.llm.storage import drop, releasing_shuffles, stored
 from vendorlytics.llm.text import tidied
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the smallest node it can
-    reach.
+    reach.  A stored table.
 
     Alternates the large-star step (a node hooks its larger neighbours to its
     smallest one) with the small-star step (it hooks its smaller neighbours and
@@ -23,32 +23,55 @@ def components(edges: DataFrame) -> DataFrame:
     partial sums only, and join back by node; edges never pass through the driver.
     """
     both = edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-    star, mark = stored(both, "edges"), None
-    while not star.isEmpty():
+    star = stored(both, "edges")
+    while not _are_stars(star):
         star = _step(star, "large")
         star = _step(star, "small")
-        # Stars no longer change; sums of both ends tell sets of edges apart.
-        now = star.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
     roots = star.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
-    return star.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(roots)
+    out = stored(star.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(roots), "labels")
+    drop(star)
+    return out
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (from ``components``) once ``links`` (a, b) tie more nodes together.  The
+    old labels are stars already and stand for the links that made them; they are
+    dropped where new ones take their place."""
+    if links.isEmpty():
+        return labels
+    known = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    out = components(known.unionByName(links.select("a", "b")))
+    drop(labels)
+    return out
+
+
+def _ends(star: DataFrame, v: tuple, u: tuple, names: tuple[str, str]) -> DataFrame:
+    """Two rows an edge, one for each end."""
+    both = F.array(*(F.struct(*(c.alias(n) for c, n in zip(end, names))) for end in (v, u)))
+    return star.select(F.explode(both).alias("end")).select("end.*")
+
+
+def _are_stars(star: DataFrame) -> bool:
+    """Whether each node of the distinct edges v > u hangs on one node at most and, if
+    so, has none hanging on it: then every u is its component's smallest node."""
+    ends = _ends(star, (F.col("v"), F.lit(1)), (F.col("u"), F.lit(0)), ("node", "hangs"))
+    with releasing_shuffles(star.sparkSession):
+        return ends.groupBy("node").agg(F.sum("hangs").alias("on"), F.min("hangs").alias("least")) \
+            .where("on > 1 OR on = 1 AND least = 0").isEmpty()
 
 
 def _step(star: DataFrame, kind: str) -> DataFrame:
-    """One star step on edges v > u."""
+    """One star step on edges v > u; those of the large step may repeat."""
     if kind == "large":  # every node m; its larger neighbours v hook to its smallest neighbour or itself
-        near = star.select(F.col("u").alias("m"), F.col("v").alias("n")).unionByName(
-            star.select(F.col("v").alias("m"), F.col("u").alias("n")))
+        near = _ends(star, (F.col("v"), F.col("u")), (F.col("u"), F.col("v")), ("m", "n"))
         least = near.groupBy("m").agg(F.least(F.col("m"), F.min("n")).alias("root"))
-        out = near.where("n > m").join(least, "m").select(F.col("n").alias("v"), F.col("root").alias("u"))
+        out = star.join(least.withColumnRenamed("m", "u"), "u").select("v", F.col("root").alias("u"))
     else:  # every node v; its smaller neighbours and itself hook to the smallest of them
         least = star.groupBy("v").agg(F.min("u").alias("root"))
-        hooked = star.join(least, "v")
-        out = hooked.select(F.col("u").alias("v"), F.col("root").alias("u")).unionByName(
-            least.select("v", F.col("root").alias("u")))
-    after = stored(out.where("v != u").distinct(), "edges")
+        # The edge to the smallest hooks the node itself, every other one its lower end.
+        out = star.join(least, "v").select(
+            F.when(F.col("u") == F.col("root"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("root").alias("u")).distinct()
+    after = stored(out, "edges")
     drop(star)
     return after
 
@@ -112,14 +135,14 @@ def connect(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     pairs = stored(shared.where("rep != centre").select(
         F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(confirm(pairs), "links")
-    labels = stored(components(links), "labels")
+    labels = components(links)
     named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
         .withColumn("label", F.coalesce("label", "rep"))
     apart = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("bucket")
     named = stored(named.join(apart, "bucket", "left_semi").select("bucket", "rep", "label", "size"), "apart")
     more = stored(compare(named).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     rest = stored(confirm(more), "more-links")
-    out = stored(components(links.unionByName(rest)), "labels")
-    for used in (shared, pairs, links, labels, named, more, rest):
+    out = joined(labels, rest)
+    for used in (shared, pairs, links, named, more, rest):
         drop(used)
     return out

@@ -147,7 +147,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     content.append(lines[item["no"]])
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(content, pa.string())], ["rep", "content"])
 
-    held = docs.dropDuplicates(["ord", "k"]).join(by_doc, ["ord", "k"]).select("text", "wanted")
+    # The texts meet the short lists unsorted, and only those that have one are told from copies.
+    held = docs.join(by_doc.hint("shuffle_hash"), ["ord", "k"]).dropDuplicates(["ord", "k"]).select("text", "wanted")
     return held.mapInArrow(tidied(run), "rep long, content string")
 
 
@@ -228,17 +229,22 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, near: int = NEAR) -> DataFr
         F.min(F.struct("ord", "k", "no")).alias("first"), F.count("*").alias("n"),
         (F.min("check") != F.max("check")).alias("unsure")), "lines")
 
+    held: list[DataFrame] = []
+
     def texts_for(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct().join(lines.where("NOT unsure"), "line") \
-            .select(F.col("line").alias("rep"), "first.ord", "first.k", "first.no")
-        return stored(line_texts(keys, wanted), "line-texts")
+        """Texts of the lines that share a bucket, looked up once: ``connect`` first pairs
+        every one of them with its bucket's centre, and none comes later."""
+        if not held:
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct().join(lines.where("NOT unsure"), "line") \
+                .select(F.col("line").alias("rep"), "first.ord", "first.k", "first.no")
+            held.append(stored(line_texts(keys, wanted), "line-texts"))
+        return held[0]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return confirm(pairs, texts_for(pairs), edits)
 
     def compared(rows: DataFrame) -> DataFrame:
-        reps = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
-        return meetings(rows.join(texts_for(reps), "rep"), ["content"], BLOCK, lambda t: _meeting(t, edits))
+        return meetings(rows.join(held[0], "rep"), ["content"], BLOCK, lambda t: _meeting(t, edits))
 
     labels = connect(buckets(docs, edits, near), confirmed, compared)
     classed = lines.where("NOT unsure").join(labels.withColumnRenamed("node", "line"), "line", "left") \
@@ -252,7 +258,8 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, near: int = NEAR) -> DataFr
         F.collect_set(F.when(here > F.col("class_first"), F.col("no"))).alias("gone"),
         F.count_if("near").alias("n_near"))  # at most a text's lines
     judged = stored(judged, "lines-to-remove")
-    drop(found)
+    for used in (found, lines, labels, classed, *held):
+        drop(used)
     # Names that no column of ``docs`` has.
     free = "_"
     while any(c.lower().startswith(free) for c in docs.columns):
@@ -260,6 +267,6 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, near: int = NEAR) -> DataFr
     ord_, k, gone = (free + n for n in ("ord", "k", "gone"))
     d = docs.withColumn(ord_, F.coalesce("doc_id", F.lit(-2**63))).withColumn(k, F.xxhash64("text"))
     j = judged.select(F.col("ord").alias(ord_), F.col("k").alias(k), F.col("gone").alias(gone), F.col("n_near").alias(free + "near"))
-    joined = d.join(j, [ord_, k], "left").select(
+    joined = d.join(j.hint("shuffle_hash"), [ord_, k], "left").select(
         *(F.col(f"`{c}`") for c in others), "text", F.coalesce(free + "near", F.lit(0)).alias("n_near"), gone)
     return without(joined, gone)
