@@ -25,7 +25,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.storage import stored
+from vendorlytics.llm.storage import drop, stored
 
 WINDOW = 13
 ANCHORS = 2
@@ -116,6 +116,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     met = intersect(index, anchored).join(test, "phrase").groupBy(*KEY).agg(
         F.collect_set(F.struct("start", "phrase", "n_terms", "items")).alias("met"))
     met = stored(met, "candidates")
+    drop(index)
     d, m = docs.dropDuplicates(list(KEY)).alias("d"), met.alias("m")
     exact = F.filter("met", lambda c: (c["start"] + c["n_terms"] <= F.size("w")) & (F.array_join(F.slice("w", c["start"] + 1, c["n_terms"]), " ") == c["phrase"]))
     # Always a shuffle of both: a broadcast would hold at some sizes only.

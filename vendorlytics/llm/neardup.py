@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.components import components, meetings, pair_batch
+from vendorlytics.llm.components import components, joined, meetings, pair_batch
 from vendorlytics.llm.storage import drop, stored
 from vendorlytics.llm.text import LOWER, Words, mix, slices, text_bytes, tidied, window_hashes
 
@@ -214,18 +214,24 @@ def link(docs: DataFrame) -> DataFrame:
     buckets = reps.select("rep", F.explode("bands").alias("bucket")).distinct()
     centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1")
     shared = stored(buckets.join(centres, "bucket").select("bucket", "rep", "centre", "size"), "buckets")
-    sizes = reps.select("rep", "n")
+    sizes = stored(reps.select("rep", "n"), "sizes")
     sets = stored(full_sets(docs, reps.select("rep", "set_hash").join(
         shared.select("rep").distinct(), "rep", "left_semi")), "sets")
+    drop(reps)
     stars = shared.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     tested = stored(sized(stars, sizes), "pairs")
     links = stored(confirm(tested, sets).unionByName(ties), "links")
+    labels, before, used = components(links), None, [sets, sizes, shared, tested, links]
     for turn in range(HUBS + 1):
-        labels = stored(components(links), "labels")
-        named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
-            .withColumn("label", F.coalesce("label", "rep"))
-        apart = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("bucket")
-        named = stored(named.join(apart, "bucket", "left_semi"), "apart")
+        if labels is not before:
+            named = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left") \
+                .withColumn("label", F.coalesce("label", "rep"))
+            apart = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("bucket")
+            named = stored(named.join(apart, "bucket", "left_semi"), "apart")
+            used.append(named)
+        elif turn < HUBS:
+            continue  # no link was new: the same hubs again
+        before = labels
         if turn < HUBS:
             degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
             hubs = named.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", "rep", "label")).alias("hub")) \
@@ -236,11 +242,11 @@ def link(docs: DataFrame) -> DataFrame:
         else:
             more = block_pairs(named.join(sets.select("rep", "n", "marks"), "rep"))
         more = stored(more.join(tested, ["a", "b"], "left_anti"), "more-pairs")
-        links = stored(confirm(more, sets).unionByName(links), "links")
-        tested = stored(tested.unionByName(more), "pairs")
-    labels = stored(components(links), "labels")
-    for used in (sets, shared, tested):
-        drop(used)
+        new = stored(confirm(more, sets), "links")
+        labels, links, tested = joined(labels, new), links.unionByName(new), tested.unionByName(more)
+        used += [more, new]
+    for table in used:
+        drop(table)
 
     out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(
