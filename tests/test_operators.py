@@ -232,6 +232,26 @@ def test_allocation_and_totals_on_one_exchange(spark, heavy, broadcast):
         assert plan.count("Exchange hashpartitioning") <= 3  # the lines' and the claims' two
 
 
+@pytest.mark.parametrize("heavy", [(), ("hot", "o1")])
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_allocation_in_parts(spark, heavy, broadcast):
+    """Rows with a group, without one and of heavy groups as a list; the first is grouped where it stands."""
+    rows, claims, data, claim_rows = hot_lines(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        parts = allocate(rows, claims, ["o", "k"], "code", "q", ["id"], "out", totals={"t": F.sum("v")}, heavy=heavy,
+                         keep_salt=True, parts=True)
+        plan = parts[0].groupBy("o", "id", "out", "t", "_salt").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
+        collected = [[tuple(r) for r in x.select("id", "out", "t", "o").collect()] for x in parts]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want, totals = plain_allocation(data, claim_rows)
+    assert sorted(r[:3] for part in collected for r in part) == sorted(
+        (i, want[i], totals[o] if o is not None else None) for o, _, _, i, _ in data)
+    assert len(parts) == 2 + bool(heavy) and all(r[3] is None for r in collected[1])
+    assert "Exchange" not in plan[:plan.index("Window")]
+
+
 @pytest.mark.parametrize("heavy", [(), ("hot", "none such")])
 @pytest.mark.parametrize("broadcast", ["10MB", "-1"])
 def test_join_apart_equals_the_plain_join(spark, heavy, broadcast):

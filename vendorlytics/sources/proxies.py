@@ -199,14 +199,17 @@ def sales_tables(t: DriverTables) -> Datasets:
 
     def sales_items() -> DataFrame:
         # Orders meet their customers among themselves, and lines come to their orders last: two
-        # exchanges of the lines, and an order's lines stand together.
-        ordered = O.join(C.select("c_custkey", "c_nationkey"), O.o_custkey == C.c_custkey)
+        # exchanges of the lines, and an order's lines stand together.  They meet by the order's
+        # code, so the planner sees that they stand by it.
+        ordered = (O.join(C.select("c_custkey", "c_nationkey"), O.o_custkey == C.c_custkey)
+                   .withColumns({"DisplayOrderCode": _code("O", "o_orderkey"), "l_orderkey": F.col("o_orderkey")}))
         j = (L.join(S.select("s_suppkey", "s_nationkey"), L.l_suppkey == S.s_suppkey)
              .join(PT.select("p_partkey", first_word.alias("_word"), "p_retailprice"), L.l_partkey == PT.p_partkey)
-             .join(ordered, L.l_orderkey == O.o_orderkey))
+             .withColumn("DisplayOrderCode", _code("O", "l_orderkey")).drop("l_orderkey")
+             .join(ordered, "DisplayOrderCode"))
         return j.select(
             _code("I", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("SaleOrderItemCode"),
-            _code("O", "l_orderkey").alias("DisplayOrderCode"),
+            "DisplayOrderCode",
             F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1),
                    _code("RP", "l_orderkey")).alias("ReversePickupCode"),
             (F.col("l_linenumber") % 2).cast("int").alias("COD"),
