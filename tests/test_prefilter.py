@@ -43,6 +43,26 @@ def test_branches_share_the_exchanges_below(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_column_beside_keeps_the_dealing(spark):
+    """Rows that stand by a column still do behind ``shared``, and both readers have the join's two exchanges (before:
+    each reader of other columns had its own)."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false")):
+            spark.conf.set(k, v)
+        left = spark.range(500).select((F.col("id") % 50).cast("string").alias("o"), "id", (F.col("id") + 1).alias("v"))
+        right = spark.range(50).select(F.col("id").cast("string").alias("o"), (F.col("id") * 3).alias("w"))
+        lines = shared(left.join(right, "o"), "o")
+        assert lines.columns == ["o", "id", "v", "w"]
+        both = lines.groupBy("o").agg(F.sum("v").alias("v")).join(lines.groupBy("o").agg(F.max("w").alias("w")), "o")
+        assert rows(both) == rows(left.join(right, "o").groupBy("o").agg(F.sum("v").alias("v"), F.max("w").alias("w")))
+        plan = both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("- Exchange hashpartitioning") + plan.count("ReusedExchange") == 4 and plan.count("ReusedExchange") == 2
+
+
 def _tables(spark):
     """Two orders a day over three months; NULL and repeated ids in every link table."""
     r = random.Random(4)
